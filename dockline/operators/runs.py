@@ -1,0 +1,93 @@
+"""Repeated consecutive events, collapsed by pointer doubling.
+
+Events with one time and one value are first merged into nodes (no order
+matters between them). A node that matches the node before it points to it; in
+each round every unfinished pointer is replaced by the pointer of its target,
+so a run of n nodes reaches its start after log2(n) self-joins.
+
+Defined results: rows without entity, order or value take no part; equal order
+values are read by tie-breaker; exact repeats are events of their own and
+lengthen a run; an empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dockline.operators.ordering import ranked
+from dockline.session import cut_lineage
+
+#: Seconds of a bucket for the two-level numbering, and tie-breakers of a block.
+_BUCKET, _BLOCK = 21_600, 65_536
+
+
+def event_nodes(df: DataFrame, entity: str, order: str, tie: str, value: str) -> DataFrame:
+    """(entity, at, first_tie, last_tie, min_tie, max_tie, value, n): maximal merges within one order value.
+
+    An order value with one distinct value is one node by plain aggregation,
+    however many events it has. One with several values is split by runs of the
+    tie-breaker, in blocks of tie-breakers so that no task gets all of them.
+    """
+    rows = df.where(F.col(entity).isNotNull() & F.col(order).isNotNull() & F.col(value).isNotNull()).select(
+        F.col(entity).alias("entity"), F.col(order).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value"))
+    moments = rows.groupBy("entity", "at").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), F.min("tie").alias("min_tie"), F.max("tie").alias("max_tie"))
+    plain = moments.where(F.col("lo") == F.col("hi")).select("entity", "at", "min_tie", "max_tie", F.col("lo").alias("value"), "n")
+    mixed = rows.join(moments.where(F.col("lo") != F.col("hi")).select("entity", "at"), ["entity", "at"], "left_semi").withColumn("block", F.expr(f"tie div {_BLOCK}"))
+    w = Window.partitionBy("entity", "at", "block").orderBy("tie")
+    change = F.coalesce((F.col("value") != F.lag("value").over(w)).cast("int"), F.lit(1))
+    split = (
+        mixed.withColumn("change", change)
+        .withColumn("seg", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("entity", "at", "block", "seg")
+        .agg(F.min("tie").alias("min_tie"), F.max("tie").alias("max_tie"), F.first("value").alias("value"), F.count("*").alias("n"))
+        .select("entity", "at", "min_tie", "max_tie", "value", "n")
+    )
+    return plain.unionByName(split)
+
+
+def double_pointers(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(entity, id, ptr): every pointer moved to the start of its chain.
+
+    ``links`` has (entity, id, ptr, done): a start points to itself and is done.
+    Only unfinished rows are joined in a round; each round halves the distance.
+    """
+    state = cut_lineage(links)
+    for _ in range(max_rounds):
+        if state.where(~F.col("done")).limit(1).count() == 0:
+            return state.select("entity", "id", "ptr")
+        step = state.select("entity", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("done").alias("done2"))
+        moved = state.where(~F.col("done")).join(step, ["entity", "ptr"]).select("entity", "id", F.col("ptr2").alias("ptr"), F.col("done2").alias("done"))
+        parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        state = cut_lineage(state.where("done").unionByName(moved).repartition(parts, "entity", "id"))
+    raise RuntimeError(f"a chain is longer than 2^{max_rounds}")
+
+
+def collapse_runs(df: DataFrame, entity: str, order: str, tie: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """(entity, value, n, first_at, last_at, duration, min_tie, max_tie): one row per longest run.
+
+    With ``tolerance`` neighbours match when they differ by at most that much
+    (values must then be numeric), and ``value`` is the run's first.
+    """
+    nodes = ranked(event_nodes(df, entity, order, tie, value), ["entity"], ["at", "min_tie"], F.expr(f"cast(at as bigint) div {_BUCKET}"))
+    nodes = cut_lineage(nodes.withColumnRenamed("rank", "id"))
+    before = nodes.select("entity", (F.col("id") + 1).alias("id"), F.col("value").alias("before"))
+    match = F.abs(F.col("value") - F.col("before")) <= tolerance if tolerance else F.col("value") == F.col("before")
+    follows = F.coalesce(match, F.lit(False))
+    linked = cut_lineage(nodes.join(before, ["entity", "id"], "left").withColumn("follows", follows).drop("before"))
+    starts = linked.where("follows").select("entity", (F.col("id") - 1).alias("id"))
+    # a start takes part only if something points to it; single nodes stay out of the rounds
+    roots = linked.where(~F.col("follows")).select("entity", "id").join(starts, ["entity", "id"], "left_semi")
+    links = roots.select("entity", "id", F.col("id").alias("ptr"), F.lit(True).alias("done")).unionByName(
+        linked.where("follows").select("entity", "id", (F.col("id") - 1).alias("ptr"), F.lit(False).alias("done")))
+    found = double_pointers(links)
+    return (
+        linked.join(found, ["entity", "id"], "left")
+        .groupBy("entity", F.coalesce("ptr", "id").alias("start"))
+        .agg(
+            F.min_by("value", "id").alias("value"), F.sum("n").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+            F.min("min_tie").alias("min_tie"), F.max("max_tie").alias("max_tie"))
+        .withColumn("duration", F.col("last_at") - F.col("first_at"))
+        .drop("start")
+    )

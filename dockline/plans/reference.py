@@ -1,0 +1,4 @@
+"""SQL-comparable queries of the station pipeline."""
+
+QUERIES = {}
+SQL = {}
