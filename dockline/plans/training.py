@@ -134,3 +134,62 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_grid, p1_counter, p2_found, p2_steps, p2_daily, p3_found, p3_windows, p3_emissions, p4_found, p4_fields,
     p5_found, p5_reasons, p6_found, p6_runs, p7_found, p7_changes, p7_fingerprints, p7_table)}
+
+# --- the same in SQL ----------------------------------------------------------
+
+_CELLS = """SELECT station_id, ingested_at // 300 * 300 AS b, max({'t': ingested_at, 'v': num_bikes_available}).v AS bikes FROM station_measures
+WHERE station_id IS NOT NULL AND ingested_at IS NOT NULL AND num_bikes_available IS NOT NULL GROUP BY 1, 2"""
+_GRID = f"""WITH cells AS ({_CELLS}), spine AS (SELECT station_id, unnest(generate_series(a, z, 300)) AS b FROM (SELECT station_id, min(b) AS a, max(b) AS z FROM cells GROUP BY station_id))
+SELECT station_id, b AS bin_epoch, bikes, bikes IS NULL AS is_missing FROM spine LEFT JOIN cells USING (station_id, b)"""
+_COUNTER = """WITH r AS (SELECT station_id, ingested_at AS t, CAST(max(num_docks_available) AS DOUBLE) AS v FROM station_measures WHERE station_id IS NOT NULL AND ingested_at IS NOT NULL AND num_docks_available IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT station_id, lag(t) OVER w AS t0, t AS t1, v < lag(v) OVER w AS reset, CASE WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS inc FROM r WINDOW w AS (PARTITION BY station_id ORDER BY t)),
+c AS (SELECT *, unnest(generate_series(t0 // 300 * 300, (t1 - 1) // 300 * 300, 300)) AS cell FROM i WHERE t0 IS NOT NULL),
+o AS (SELECT *, least(t1, cell + 300) - greatest(t0, cell) AS overlap, t1 - t0 > 3600 AS far FROM c)
+SELECT station_id, cell AS bin_epoch, round(sum(CASE WHEN NOT far THEN inc * overlap / (t1 - t0) END), 6) AS increment, CAST(coalesce(sum(CASE WHEN NOT far THEN overlap END), 0) AS BIGINT) AS covered_s,
+CAST(sum(CAST(reset AND t1 // 300 * 300 = cell AS INTEGER)) AS BIGINT) AS resets, coalesce(sum(CASE WHEN NOT far THEN overlap END), 0) = 0 AS is_missing FROM o GROUP BY station_id, cell"""
+_FILL = """WITH g AS (SELECT station_id, bin_epoch // 300 AS s, min(bikes) AS v FROM station_grid GROUP BY 1, 2),
+f AS (SELECT station_id, s + a AS step_no, arg_min(v, a) AS value, min(a) > 0 AS is_filled FROM g, range(3) r(a) GROUP BY 1, 2),
+w AS (SELECT *, count(*) OVER r AS n, avg(value) OVER r AS m, stddev_samp(value) OVER r AS d FROM f WINDOW r AS (PARTITION BY station_id ORDER BY step_no RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)),
+rolled AS (SELECT station_id, step_no, value, is_filled, CASE WHEN n = 6 THEN m END AS mean, CASE WHEN n = 6 THEN d END AS std FROM w)
+"""
+_DAILY = """WITH once AS (SELECT DISTINCT station_id, bin_epoch, bikes FROM station_grid), daily AS (SELECT station_id, bin_epoch // 86400 AS day_no, sum(bikes) AS t, count(*) AS n FROM once GROUP BY 1, 2),
+cal AS (SELECT station_id, unnest(generate_series(a, z)) AS day_no FROM (SELECT station_id, min(day_no) AS a, max(day_no) AS z FROM daily GROUP BY 1)),
+f AS (SELECT station_id, day_no, coalesce(t, 0) AS t, coalesce(n, 0) AS n FROM cal LEFT JOIN daily USING (station_id, day_no))
+SELECT station_id, day_no, CAST(t AS BIGINT) AS bikes_total, n AS n_rows, CAST(sum(t) OVER a AS BIGINT) AS total_7, round(sum(t) OVER a / 7.0::DOUBLE, 6) AS avg_7, CAST(sum(t) OVER b AS BIGINT) AS total_30, round(sum(t) OVER b / 30.0::DOUBLE, 6) AS avg_30
+FROM f WINDOW a AS (PARTITION BY station_id ORDER BY day_no RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), b AS (PARTITION BY station_id ORDER BY day_no RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)"""
+_LATE = """WITH x AS (SELECT *, max(last_reported) OVER (PARTITION BY station_id ORDER BY ingested_at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM station_status
+WHERE station_id IS NOT NULL AND last_reported IS NOT NULL AND ingested_at IS NOT NULL),
+late AS (SELECT *, CASE WHEN seen IS NULL OR seen <= last_reported THEN 'on_time' WHEN seen - last_reported > 600 THEN 'too_late' ELSE 'late' END AS lateness FROM x)
+"""
+_SNAP = """WITH s AS (SELECT * FROM station_snapshots WHERE snapshot_no IS NOT NULL AND station_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_no, station_id ORDER BY row_no DESC) = 1),
+o AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT snapshot_no FROM s)),
+a AS (SELECT s.*, o.before FROM s JOIN o USING (snapshot_no) WHERE before IS NOT NULL), b AS (SELECT s.*, o.snapshot_no AS into_no FROM s JOIN o ON o.before = s.snapshot_no)
+"""
+_DIFFERS = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in SNAPSHOT_FIELDS)
+_BOTH = "a JOIN b ON b.into_no = a.snapshot_no AND b.station_id = a.station_id"
+_RUNS = """WITH r AS (SELECT station_id, last_reported AS t, msg_id, num_bikes_available AS v, num_bikes_available IS DISTINCT FROM lag(num_bikes_available) OVER w AS b FROM station_status
+WHERE station_id IS NOT NULL AND last_reported IS NOT NULL AND num_bikes_available IS NOT NULL WINDOW w AS (PARTITION BY station_id ORDER BY last_reported, msg_id)),
+i AS (SELECT *, sum(CAST(b AS INTEGER)) OVER (PARTITION BY station_id ORDER BY t, msg_id) AS island FROM r),
+runs AS (SELECT station_id, any_value(v) AS num_bikes_available, count(*) AS n_messages, min(t) AS first_reported, max(t) AS last_reported, max(t) - min(t) AS duration_s, min(msg_id) AS min_msg_id, max(msg_id) AS max_msg_id FROM i GROUP BY station_id, island)
+"""
+
+SQL = {
+    "p1_found": f"SELECT station_id, bin_epoch FROM ({_GRID}) WHERE is_missing",
+    "p1_grid": _GRID,
+    "p1_counter": _COUNTER,
+    "p2_found": _FILL + """SELECT DISTINCT d.station_id, r.step_no * 300 AS bin_epoch FROM station_dataset d JOIN rolled r ON r.station_id = d.station_id AND r.step_no = CAST(epoch(d.ts) AS BIGINT) // 300
+WHERE abs(d.bikes_roll_mean30 - r.mean) > 0.01 OR abs(d.bikes_roll_std30 - r.std) > 0.01""",
+    "p2_steps": _FILL + "SELECT station_id, step_no * 300 AS bin_epoch, CAST(value AS BIGINT) AS bikes, is_filled, round(mean, 6) AS bikes_roll_mean30, round(std, 6) AS bikes_roll_std30 FROM rolled",
+    "p2_daily": _DAILY,
+    "p3_found": _LATE + "SELECT msg_id, lateness FROM late WHERE lateness <> 'on_time'",
+    "p3_windows": _LATE + """SELECT station_id, last_reported // 300 * 300 AS window_start, count(*) FILTER (WHERE lateness <> 'too_late') AS n_observations, count(*) FILTER (WHERE lateness = 'too_late') AS n_too_late,
+round(avg(num_bikes_available) FILTER (WHERE lateness <> 'too_late'), 4) AS avg_bikes_available, round(avg(num_docks_available) FILTER (WHERE lateness <> 'too_late'), 4) AS avg_docks_available FROM late GROUP BY 1, 2""",
+    "p3_emissions": _LATE + """, p AS (SELECT station_id, last_reported // 300 * 300 AS window_start, ingested_at // 60 * 60 AS batch_start, count(*) AS n, sum(num_bikes_available) AS s, count(num_bikes_available) AS k FROM late WHERE lateness <> 'too_late' GROUP BY 1, 2, 3)
+SELECT station_id, window_start, batch_start, CAST(row_number() OVER w - 1 AS INTEGER) AS revision, CAST(sum(n) OVER w AS BIGINT) AS n_observations, round(sum(s) OVER w / nullif(sum(k) OVER w, 0), 4) AS avg_bikes FROM p WINDOW w AS (PARTITION BY station_id, window_start ORDER BY batch_start)""",
+    "p4_found": _SNAP + f"""SELECT a.snapshot_no, a.station_id, 'changed' AS change_kind FROM {_BOTH} WHERE {_DIFFERS}
+UNION ALL SELECT snapshot_no, station_id, 'added' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.into_no = a.snapshot_no AND b.station_id = a.station_id)
+UNION ALL SELECT into_no, station_id, 'removed' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.into_no = a.snapshot_no AND b.station_id = a.station_id)""",
+    "p4_fields": _SNAP + " UNION ALL ".join(f"SELECT a.snapshot_no, a.station_id, '{c}' AS field_name FROM {_BOTH} WHERE a.{c} IS DISTINCT FROM b.{c}" for c in SNAPSHOT_FIELDS),
+    "p6_found": _RUNS + "SELECT station_id, min_msg_id, max_msg_id FROM runs WHERE n_messages >= 5",
+    "p6_runs": _RUNS + "SELECT * FROM runs",
+}
