@@ -40,12 +40,18 @@ def report_times(rows: DataFrame) -> DataFrame:
         F.min_by(pair, "tie").alias("enter"), F.max_by(pair, "tie").alias("leave"), F.min(pair).eqNullSafe(F.max(pair)).alias("pure"))
 
 
-def hampel(times: DataFrame, measures: tuple[str, ...], share: float, sigmas: float, reach: int, longest: int, chunk: int = 4096) -> DataFrame:
-    """``times`` (ranked, with ``size``) plus, per measure, ``med_*``, ``thr_*`` and ``spike_*``.
+def _apart(c: str, level: Column) -> Column:
+    """How far the furthest value of a time is from a level."""
+    return F.greatest(F.abs(F.col(f"hi_{c}") - level), F.abs(F.col(f"lo_{c}") - level))
 
-    A time deviates if one of its values is further than the threshold from the
-    rolling median over ``reach`` times on either side. A spike is a row of at
-    most ``longest`` deviating times between two that don't deviate and agree.
+
+def hampel(times: DataFrame, measures: tuple[str, ...], share: float, suspect: float, sigmas: float, reach: int, longest: int, chunk: int = 4096) -> DataFrame:
+    """``times`` (ranked, with ``size``) plus, per measure, ``spike_*`` and the levels ``from_*`` and ``back_*`` beside it.
+
+    A time is suspect if one of its values is further from the rolling median
+    over ``reach`` times on either side than ``suspect`` sizes and ``sigmas``
+    deviations. A spike is a stretch of at most ``longest`` suspect times between
+    two calm ones that agree, with a value more than ``share`` sizes from both.
     """
     look = longest + 5
     spread = with_halo(times, chunk, reach + look + 1)
@@ -58,19 +64,18 @@ def hampel(times: DataFrame, measures: tuple[str, ...], share: float, sigmas: fl
         out = out.withColumn(f"med_{c}", F.when(F.size(f"near_{c}") > 0, _median(F.col(f"near_{c}"))))
         spread_c = F.sort_array(F.expr(f"transform(near_{c}, x -> abs(x - med_{c}))"))
         out = out.withColumn(f"mad_{c}", F.when(F.size(f"near_{c}") > 0, _median(spread_c)))
-        out = out.withColumn(f"thr_{c}", F.greatest(F.col("size") * share, F.col(f"mad_{c}") * (1.4826 * sigmas)))
-        dev = F.greatest(F.abs(F.col(f"hi_{c}") - F.col(f"med_{c}")), F.abs(F.col(f"lo_{c}") - F.col(f"med_{c}"))) > F.col(f"thr_{c}")
-        out = out.withColumn(f"dev_{c}", dev).drop(f"near_{c}", f"mad_{c}")
+        limit = F.greatest(F.col("size") * suspect, F.col(f"mad_{c}") * (1.4826 * sigmas))
+        out = out.withColumn(f"dev_{c}", _apart(c, F.col(f"med_{c}")) > limit).drop(f"near_{c}", f"mad_{c}", f"med_{c}")
     for c in measures:
         out = out.withColumn(f"seen_{c}", F.sum(F.coalesce(F.col(f"dev_{c}").cast("int"), F.lit(0))).over(sofar))
     for c in measures:
         calm = F.when(~F.col(f"dev_{c}"), F.struct(F.col(f"rep_{c}").alias("v"), F.col(f"seen_{c}").alias("k")))
         p, q = F.last(calm, ignorenulls=True).over(back), F.first(calm, ignorenulls=True).over(ahead)
         out = out.withColumn(f"p_{c}", p).withColumn(f"q_{c}", q)
-        rep, thr = F.col(f"rep_{c}"), F.col(f"thr_{c}")
+        before, after, far = F.col(f"p_{c}.v"), F.col(f"q_{c}.v"), F.col("size") * share
         short = F.col(f"q_{c}.k") - F.col(f"p_{c}.k") <= longest
-        returns = F.abs(F.col(f"p_{c}.v") - F.col(f"q_{c}.v")) <= thr
-        out = out.withColumn(f"spike_{c}", F.coalesce(F.col(f"dev_{c}") & short & returns, F.lit(False))).drop(f"p_{c}", f"q_{c}", f"dev_{c}", f"seen_{c}")
+        spike = F.col(f"dev_{c}") & short & (F.abs(before - after) <= far) & (_apart(c, before) > far) & (_apart(c, after) > far)
+        out = out.withColumns({f"spike_{c}": F.coalesce(spike, F.lit(False)), f"from_{c}": before, f"back_{c}": after}).drop(f"p_{c}", f"q_{c}", f"dev_{c}", f"seen_{c}")
     return out.where("own")
 
 
@@ -111,12 +116,12 @@ def stuck_halves(times: DataFrame, least: int, chunk: int = 4096) -> DataFrame:
     return segmented.where(whole).join(found, ["source", "chunk", "seg"], "left_semi").select("source", "at", "half")
 
 
-def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, share: float = 0.4, above: float = 1.3, longest: int = 3, stuck: int = 60, reach: int = 6, sigmas: float = 1.0) -> DataFrame:
+def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, share: float = 0.4, above: float = 1.3, longest: int = 3, stuck: int = 60, reach: int = 6, suspect: float = 0.3, sigmas: float = 1.0) -> DataFrame:
     """(tie, reason): rows out of bounds, spiking or stuck; a row may have several reasons."""
     rows = df.where(F.col(source).isNotNull() & F.col(at).isNotNull()).select(
         F.col(source).alias("source"), F.col(at).cast("long").alias("at"), F.col(tie).alias("tie"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     times = cut_lineage(ranked(report_times(rows), ["source"], ["at"], F.expr(f"at div {_BUCKET}"), source_sizes(rows)))
-    judged = hampel(times, ("a", "b"), share, sigmas, reach, longest).select("source", "at", *[f"{k}_{c}" for c in ("a", "b") for k in ("med", "thr", "spike")])
+    judged = hampel(times, ("a", "b"), share, suspect, sigmas, reach, longest).select("source", "at", *[f"{k}_{c}" for c in ("a", "b") for k in ("spike", "from", "back")])
     halves = stuck_halves(times, stuck).groupBy("source", "at").agg(F.max(F.col("half") == 0).alias("stuck_0"), F.max(F.col("half") == 1).alias("stuck_1"))
     bad = (F.col("lo_a") < 0) | (F.col("lo_b") < 0) | F.coalesce((F.col("hi_a") > F.col("size") * above) | (F.col("hi_b") > F.col("size") * above), F.lit(False))
     suspects = (
@@ -126,7 +131,7 @@ def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, s
     )
     hit = cut_lineage(rows.join(suspects, ["source", "at"]))
     out_of = lambda c: F.coalesce((F.col(c) < 0) | (F.col(c) > F.col("size") * above), F.lit(False))
-    spikes = lambda c: F.coalesce(F.col(f"spike_{c}") & (F.abs(F.col(c) - F.col(f"med_{c}")) > F.col(f"thr_{c}")), F.lit(False))
+    spikes = lambda c: F.coalesce(F.col(f"spike_{c}") & (F.least(F.abs(F.col(c) - F.col(f"from_{c}")), F.abs(F.col(c) - F.col(f"back_{c}"))) > F.col("size") * share), F.lit(False))
     # in a time with several pairs only the rows before the first change, or from the last one on, belong to the stretch
     mixed = hit.where((F.col("stuck_0") | F.col("stuck_1")) & ~F.col("pure"))
     same = lambda p: F.struct("a", "b").eqNullSafe(F.col(p))

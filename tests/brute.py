@@ -96,26 +96,34 @@ def p5(status):
         # leaves its level for at most three report times, then comes back
         if size is None:
             continue
+        far = 0.4 * size
         for c in (2, 3):
-            seq = [r for r in rows if r[c] is not None]
-            times = sorted({r[0] for r in seq})
-            last = {t: v for t, v in ((r[0], r[c]) for r in seq)}
-            n = len(times)
+            at = defaultdict(list)
+            for r in rows:
+                if r[c] is not None:
+                    at[r[0]].append((r[c], r[1]))
+            times = sorted(at)
+            level = [at[t][-1][0] for t in times]
             i = 1
-            while i < n:
-                base = last[times[i - 1]]
-                if abs(last[times[i]] - base) > 0.4 * size:
-                    for w in (1, 2, 3):
-                        if i + w < n and abs(last[times[i + w]] - base) <= 0.4 * size and all(abs(last[times[i + q]] - last[times[i + w]]) > 0.4 * size and abs(last[times[i + q]] - base) > 0.4 * size for q in range(w)):
-                            # the level after must hold, else the return is itself the excursion
-                            after = [last[t] for t in times[i + w : i + w + 4]]
-                            before = [last[t] for t in times[max(0, i - 4) : i]]
-                            if sum(abs(v - base) <= 0.4 * size for v in before + after) > len(before + after) / 2:
-                                for r in seq:
-                                    if times[i] <= r[0] <= times[i + w - 1]:
-                                        out.setdefault(r[1], set()).add("spike")
-                                i += w - 1
-                            break
+            while i < len(times):
+                base = level[i - 1]
+                for w in (1, 2, 3):
+                    if i + w >= len(times):
+                        break
+                    back = level[i + w]
+                    if any(max(min(abs(v - base), abs(v - back)) for v, _ in at[times[i + q]]) <= far for q in range(w)):
+                        break
+                    if abs(back - base) <= far and all(abs(v - base) <= far for v, _ in at[times[i + w]]):
+                        # the level after must hold, else the return is itself the excursion
+                        around = level[max(0, i - 4) : i] + level[i + w : i + w + 4]
+                        if sum(abs(v - base) <= far for v in around) > len(around) / 2:
+                            for q in range(w):
+                                for v, m in at[times[i + q]]:
+                                    if min(abs(v - base), abs(v - back)) > far:
+                                        out.setdefault(m, set()).add("spike")
+                            for q in range(w):
+                                level[i + q] = base
+                        break
                 i += 1
     return {(m, k) for m, ks in out.items() for k in ks}
 
