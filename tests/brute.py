@@ -112,7 +112,7 @@ def p5(status):
                         break
                     back = level[i + w]
                     if any(max(min(abs(v - base), abs(v - back)) for v, _ in at[times[i + q]]) <= far for q in range(w)):
-                        break
+                        continue
                     if abs(back - base) <= far and all(abs(v - base) <= far for v, _ in at[times[i + w]]):
                         # the level after must hold, else the return is itself the excursion
                         around = level[max(0, i - 4) : i] + level[i + w : i + w + 4]
