@@ -70,7 +70,7 @@ def collapse_runs(df: DataFrame, entity: str, order: str, tie: str, value: str,
     With ``tolerance`` neighbours match when they differ by at most that much
     (values must then be numeric), and ``value`` is the run's first.
     """
-    nodes = ranked(event_nodes(df, entity, order, tie, value), ["entity"], ["at", "min_tie"], F.expr(f"cast(at as bigint) div {_BUCKET}"))
+    nodes = ranked(cut_lineage(event_nodes(df, entity, order, tie, value)), ["entity"], ["at", "min_tie"], F.expr(f"cast(at as bigint) div {_BUCKET}"))
     nodes = cut_lineage(nodes.withColumnRenamed("rank", "id"))
     before = nodes.select("entity", (F.col("id") + 1).alias("id"), F.col("value").alias("before"))
     match = F.abs(F.col("value") - F.col("before")) <= tolerance if tolerance else F.col("value") == F.col("before")
