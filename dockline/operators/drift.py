@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockline.session import cut_lineage
+
 #: Other names of the target columns, without case and punctuation.
 ALIASES = {
     "station_id": ["stationid", "sid"],
@@ -97,7 +99,8 @@ def migrations(messages: DataFrame, feed: str, file_no: str, line_no: str, value
     the closest pair, values first and names second, is taken on both sides.
     Candidates are the few fields that one step adds and removes.
     """
-    profile = profiles(fields(messages, feed, file_no, line_no, value))
+    # a row per file and field: read by every comparison below, so the records are parsed once
+    profile = cut_lineage(profiles(fields(messages, feed, file_no, line_no, value)))
     order = files(messages, feed, file_no)
     now = profile.join(order, ["feed", "file_no"]).where("prev_no is not null")
     after = order.where("prev_no is not null").select("feed", F.col("file_no").alias("next_no"), F.col("prev_no").alias("file_no"))
