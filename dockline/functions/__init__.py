@@ -28,7 +28,8 @@ def clip(x: Column, low: Column, high: Column) -> Column:
 
 def map_fill(bikes: Column, capacity: Column) -> Column:
     """bikes / capacity capped at 1 from above only; 0 where the capacity is NULL or 0."""
-    return F.coalesce(F.least(F.try_divide(F.coalesce(bikes, F.lit(0)).cast("double"), F.coalesce(capacity, F.lit(0)).cast("double")), F.lit(1.0)), F.lit(0.0))
+    share = F.coalesce(bikes, F.lit(0)).cast("double") / capacity.cast("double")
+    return F.when(capacity > 0, F.least(share, F.lit(1.0))).otherwise(0.0)
 
 
 def fill_colour(fill: Column) -> Column:

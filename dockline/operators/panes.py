@@ -58,8 +58,7 @@ def event_panes(rows: DataFrame, width: int, values: list[str], extra: list[str]
 
 def compose_windows(panes: DataFrame, width: int, per_window: int, values: list[str], extra: list[str] = ()) -> DataFrame:
     """Windows of ``per_window`` panes, one beginning at each pane boundary that has a row under it."""
-    offsets = F.array(*[F.lit(-i * width) for i in range(per_window)])
-    spread = panes.withColumn("window_start", F.col("pane_start") + F.explode(offsets)) if per_window > 1 else panes.withColumn("window_start", F.col("pane_start"))
+    spread = panes.withColumn("window_start", F.explode(F.array(*[F.col("pane_start") - i * width for i in range(per_window)])))
     aggs = [F.sum("n").alias("n")]
     for v in values:
         aggs += [F.sum(f"sum_{v}").alias(f"sum_{v}"), F.sum(f"n_{v}").alias(f"n_{v}")]

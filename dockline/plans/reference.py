@@ -445,7 +445,7 @@ def station_subsample(spark: SparkSession, d: str) -> DataFrame:
 # --- map ----------------------------------------------------------------------
 
 _INFO = "SELECT station_id, station_name AS name, lat, lon, capacity FROM station_info WHERE station_id IS NOT NULL"
-_FILL = "coalesce(least(coalesce(bikes_available, 0) / nullif(CAST(coalesce(capacity, 0) AS DOUBLE), 0), 1.0), 0.0)"
+_FILL = "CASE WHEN capacity > 0 THEN least(coalesce(bikes_available, 0) / CAST(capacity AS DOUBLE), 1.0) ELSE 0.0 END"
 _MAP = f"""SELECT station_id, name, station_code, coalesce(bikes_available, 0.0) AS bikes_available, docks_available, coalesce(capacity, 0) AS capacity, lat, lon, {_FILL} AS fill
 FROM ({_LIST}) JOIN ({_INFO}) USING (station_id) WHERE lat IS NOT NULL"""
 
