@@ -36,10 +36,13 @@ TARGET = {c: "string" if c == "station_code" else "long" if c in ("station_id",
 
 def fields(messages: DataFrame, feed: str, file_no: str, line_no: str, value: str) -> DataFrame:
     """(feed, file_no, line_no, name, kind, text): every field that isn't null of every record."""
-    text = F.trim(F.col(value).cast("string"))
+    text = F.btrim(F.col(value).cast("string"), F.lit(" \t\r\n"))
+    # the parser stops after the first value; a second object behind it, outside of strings, makes the text malformed
+    bare = F.regexp_replace("json", r'"(?:[^"\\]++|\\.)*+"', "")
+    trailing = F.col("json").rlike(r"\}\s*\{") & bare.rlike(r"\}\s*\{")
     records = (
         messages.select(F.col(feed).alias("feed"), F.col(file_no).alias("file_no"), F.col(line_no).alias("line_no"), text.alias("json"))
-        .where(F.col("json").startswith("{") & F.col("json").endswith("}"))
+        .where(F.col("json").startswith("{") & F.col("json").endswith("}") & ~trailing)
         .withColumn("v", F.try_parse_json("json"))
         .where(F.col("v").isNotNull())
     )
@@ -73,9 +76,12 @@ def files(messages: DataFrame, feed: str, file_no: str) -> DataFrame:
 
 
 def fingerprints(profile: DataFrame) -> DataFrame:
-    """(feed, file_no, fingerprint): a hash of the sorted field:type list."""
+    """(feed, file_no, fingerprint, version): a hash of the sorted field:type list, and how often it changed in the feed so far, from 1."""
     listing = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", "kind"))), ",")
-    return profile.groupBy("feed", "file_no").agg(F.sha2(listing, 256).substr(1, 16).alias("fingerprint"))
+    prints = profile.groupBy("feed", "file_no").agg(F.sha2(listing, 256).substr(1, 16).alias("fingerprint"))
+    w = Window.partitionBy("feed").orderBy("file_no")
+    new = F.coalesce((F.col("fingerprint") != F.lag("fingerprint").over(w)).cast("int"), F.lit(1))
+    return prints.withColumn("new", new).withColumn("version", F.sum("new").over(w).cast("int")).drop("new")
 
 
 def _bare(name: Column) -> Column:

@@ -55,6 +55,17 @@ def rolling_steps(filled: DataFrame, width: int, block: int = 288) -> DataFrame:
     )
 
 
+def every_step(rolled: DataFrame) -> DataFrame:
+    """``rolled`` with a calendar row for each step between an entity's first and last row; unknown values are NULL.
+
+    Claims beyond the last row are left out. The calendar is made per entity
+    from two numbers and joined by hash on (entity, step).
+    """
+    own = rolled.where("not is_filled").groupBy("entity").agg(F.min("step_no").alias("a"), F.max("step_no").alias("z"))
+    calendar = own.select("entity", F.explode(F.sequence("a", "z")).alias("step_no"))
+    return calendar.join(rolled, ["entity", "step_no"], "left").withColumn("is_filled", F.coalesce("is_filled", F.lit(False)))
+
+
 def wrong_features(stored: DataFrame, entity: str, time: str, mean: str, std: str, rolled: DataFrame, step: int, tolerance: float) -> DataFrame:
     """(entity, step_no) of stored rows whose mean or deviation is off by more than ``tolerance``.
 

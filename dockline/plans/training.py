@@ -39,7 +39,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_steps(spark: SparkSession, d: str) -> DataFrame:
-    return _rolled(spark, d).select(
+    """A row for every step of a station's timeline, those without rows included."""
+    return rolling.every_step(_rolled(spark, d)).select(
         F.col("entity").alias("station_id"), (F.col("step_no") * STEP).alias("bin_epoch"), F.col("value").alias("bikes"), "is_filled",
         F.round("mean", 6).alias("bikes_roll_mean30"), F.round("std", 6).alias("bikes_roll_std30"))
 
@@ -123,7 +124,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return drift.fingerprints(drift.profiles(drift.fields(table(spark, d, "raw_messages"), *_RAW))).select(F.col("feed").alias("feed_id"), "file_no", "fingerprint")
+    return drift.fingerprints(drift.profiles(drift.fields(table(spark, d, "raw_messages"), *_RAW))).select(F.col("feed").alias("feed_id"), "file_no", "fingerprint", "version")
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +180,8 @@ SQL = {
     "p1_counter": _COUNTER,
     "p2_found": _FILL + """SELECT DISTINCT d.station_id, r.step_no * 300 AS bin_epoch FROM station_dataset d JOIN rolled r ON r.station_id = d.station_id AND r.step_no = CAST(epoch(d.ts) AS BIGINT) // 300
 WHERE abs(d.bikes_roll_mean30 - r.mean) > 0.01 OR abs(d.bikes_roll_std30 - r.std) > 0.01""",
-    "p2_steps": _FILL + "SELECT station_id, step_no * 300 AS bin_epoch, CAST(value AS BIGINT) AS bikes, is_filled, round(mean, 6) AS bikes_roll_mean30, round(std, 6) AS bikes_roll_std30 FROM rolled",
+    "p2_steps": _FILL + """, cal AS (SELECT station_id, unnest(generate_series(a, z)) AS step_no FROM (SELECT station_id, min(s) AS a, max(s) AS z FROM g GROUP BY 1))
+SELECT station_id, step_no * 300 AS bin_epoch, CAST(value AS BIGINT) AS bikes, coalesce(is_filled, false) AS is_filled, round(mean, 6) AS bikes_roll_mean30, round(std, 6) AS bikes_roll_std30 FROM cal LEFT JOIN rolled USING (station_id, step_no)""",
     "p2_daily": _DAILY,
     "p3_found": _LATE + "SELECT msg_id, lateness FROM late WHERE lateness <> 'on_time'",
     "p3_windows": _LATE + """SELECT station_id, last_reported // 300 * 300 AS window_start, count(*) FILTER (WHERE lateness <> 'too_late') AS n_observations, count(*) FILTER (WHERE lateness = 'too_late') AS n_too_late,

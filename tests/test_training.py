@@ -194,6 +194,18 @@ def test_drift_steps(spark):
     assert got == {(2, "renamed", "sid"), (2, "retyped", "is_renting"), (2, "removed", "old"), (2, "added", "tag")}
 
 
+def test_what_is_a_record(spark):
+    lines = ['\t{"k": 1}\r\n', '{"k": 1} {"k": 2}', '{"k": "a} {b"}', '{"k": 1} x', '{"k": 12345678901234567890}', '{"k": 2.0}', '{"k": NaN}', '{"k": null}', "{'k': 1}"]
+    got = {(r.line_no, r.name, r.kind) for r in drift.fields(_messages(spark, [lines]), "feed_id", "file_no", "line_no", "msg_value").collect()}
+    assert got == {(0, "k", "integer"), (2, "k", "string"), (4, "k", "integer"), (5, "k", "number")}
+
+
+def test_versions_count_changes(spark):
+    a, b = ['{"x": 1}'], ['{"x": "1"}']
+    prints = drift.fingerprints(drift.profiles(drift.fields(_messages(spark, [a, a, b, a]), "feed_id", "file_no", "line_no", "msg_value"))).orderBy("file_no").collect()
+    assert [r.version for r in prints] == [1, 1, 2, 3] and prints[0].fingerprint == prints[3].fingerprint != prints[2].fingerprint
+
+
 def test_unified_table_casts_and_follows_names(spark):
     a = ['{"station_id": 5, "is_renting": 1, "ingested_at": 1772582460, "num_bikes_available": 7}']
     b = ['{"weird": 6, "is_renting": "yes", "ingested_at": "2026-03-04T00:01:00Z", "num_bikes_available": 7.5}']
