@@ -47,14 +47,15 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     want = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
         F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("asked"), F.greatest(F.coalesce(F.min("max_repeats"), F.lit(1)), F.lit(0)).alias("limit"))
     have = sizes.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("records"))
-    both = want.join(have, "source", "left").withColumn("usable", (F.col("tokens") > 0) & (F.col("asked") > 0) & (F.col("limit") > 0))
-    scale = both.where("usable").agg(F.sum("asked").alias("asked_sum"))
-    shares = both.crossJoin(F.broadcast(scale)).withColumn("share", F.when(F.col("usable"), F.col("asked") / F.col("asked_sum")).otherwise(0.0))
-    reach = shares.where("usable").agg((F.lit(float(total)) if total else F.min(F.col("limit") * F.col("tokens") / F.col("share"))).alias("total"))
-    copies = F.least(F.col("limit").cast("double"), F.col("total") * F.col("share") / F.col("tokens"))
+    both = cut_lineage(want.join(have, "source", "left").withColumn("usable", F.coalesce((F.col("tokens") > 0) & (F.col("asked") > 0) & (F.col("limit") > 0), F.lit(False))))
+    # two numbers come to the driver: what the usable sources were asked for together, and how far the tightest of them reaches
+    asked = both.where("usable").agg(F.sum("asked")).first()[0] or 1.0
+    share = F.when(F.col("usable"), F.col("asked") / asked).otherwise(0.0)
+    reach = total if total else both.where("usable").agg(F.min(F.col("limit") * F.col("tokens") / share)).first()[0] or 0.0
+    copies = F.least(F.col("limit").cast("double"), F.lit(float(reach)) * share / F.col("tokens"))
     near = F.round(copies)
-    return shares.crossJoin(F.broadcast(reach)).select(
-        "source", "asked", "share", "limit", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"),
+    return both.select(
+        "source", "asked", share.alias("share"), "limit", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"),
         F.when(F.col("usable"), F.when(F.abs(copies - near) < 1e-9, near).otherwise(copies)).otherwise(0.0).alias("copies"))
 
 
@@ -153,8 +154,8 @@ def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, records, copies, most_repeats, max_repeats) in per cent; targets without records appear with 0."""
     by = mixed.groupBy("source").agg(
         F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.count("*").alias("records"), F.sum("copies").alias("copies"), F.max("copies").alias("most_repeats"))
-    total = by.agg(F.sum("tokens").alias("all_tokens"))
-    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").crossJoin(F.broadcast(total))
+    everything = by.agg(F.sum("tokens")).first()[0] or 0
+    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left")
     return out.select(
-        "source", "target_share", F.round(100 * F.coalesce("tokens", F.lit(0)) / F.col("all_tokens"), 4).alias("actual_share"),
+        "source", "target_share", F.round(F.coalesce(F.try_divide(100 * F.col("tokens"), F.lit(everything)), F.lit(0.0)), 4).alias("actual_share"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tokens", "records", "copies", "most_repeats")], "max_repeats")

@@ -26,7 +26,8 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.reached(*_mixture(spark, d))
+    mixed, targets = _mixture(spark, d)
+    return mixing.reached(cut_lineage(mixed), targets)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
