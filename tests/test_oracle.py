@@ -43,6 +43,15 @@ def test_every_query_runs_on_empty_tables(spark, tiny, tmp_path):
         q(spark, d).count()
 
 
+@pytest.mark.parametrize("change", ["with_null_rows", "with_clashes", "repeated"])
+def test_every_query_runs_on_odd_tables(spark, tiny, tmp_path, change):
+    import variants
+
+    d = variants.write(tiny, str(tmp_path), getattr(variants, change))
+    for name, q in QUERIES.items():
+        q(spark, d).count()
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["scan_history"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(ingest_date), GreaterThanOrEqual(ingest_date" in plan
