@@ -55,14 +55,15 @@ def peek_messages(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT msg_id, CAST(station_id AS VARCHAR) AS key, num_bikes_available AS bikes_back, ingested_at AS ingested_back FROM station_status")
 def to_messages(spark: SparkSession, d: str) -> DataFrame:
     """Round trip: rows to keyed JSON messages and back."""
-    rows = table(spark, d, "station_status")
+    rows = table(spark, d, "station_status").select("msg_id", "station_id", "num_bikes_available", "ingested_at")
     sent = clean.to_messages(rows)
     back = F.from_json("value", "msg_id bigint, num_bikes_available int, ingested_at bigint")
     return sent.select("key", back.alias("s")).select(F.col("s.msg_id").alias("msg_id"), "key", F.col("s.num_bikes_available").alias("bikes_back"), F.col("s.ingested_at").alias("ingested_back"))
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "station_status").withColumn("event_time", F.timestamp_seconds("last_reported"))
+    rows = table(spark, d, "station_status").select("msg_id", "station_id", "station_code", "num_bikes_available", "num_docks_available", "is_installed", "last_reported", "ingested_at")
+    return rows.withColumn("event_time", F.timestamp_seconds("last_reported"))
 
 
 _VALID = "station_id IS NOT NULL AND last_reported IS NOT NULL AND is_installed = 1"
@@ -165,7 +166,7 @@ def backfill_measures(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT station_id, station_code, num_bikes_available, num_docks_available, last_reported, ingested_at FROM station_measures WHERE ingest_date >= DATE '2026-03-05'")
 def scan_history(spark: SparkSession, d: str) -> DataFrame:
     """A date range of the history; the filter reaches the scan."""
-    return table(spark, d, "station_measures").where("ingest_date >= date'2026-03-05'").drop("ingest_date")
+    return table(spark, d, "station_measures").where("ingest_date >= date'2026-03-05'").select("station_id", "station_code", "num_bikes_available", "num_docks_available", "last_reported", "ingested_at")
 
 
 @query("SELECT station_id, ts, bikes FROM station_dataset")
@@ -319,7 +320,7 @@ def union_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "station_dataset").distinct().withColumn("epoch", F.unix_timestamp("ts"))
+    return table(spark, d, "station_dataset").select("station_id", "ts", *SPEC.feature_columns, *SPEC.target_columns).distinct().withColumn("epoch", F.unix_timestamp("ts"))
 
 
 _STORED = "SELECT *, CAST(epoch(ts) AS BIGINT) AS epoch FROM (SELECT DISTINCT * FROM station_dataset)"
@@ -442,6 +443,18 @@ def station_subsample(spark: SparkSession, d: str) -> DataFrame:
     return sequences.systematic_sample(table(spark, d, "station_info"), "station_id", _SAMPLE)
 
 
+_PICKED = f"""WITH ids AS (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS pos, count(*) OVER () AS total FROM (SELECT DISTINCT station_id FROM station_dataset)),
+picks AS (SELECT DISTINCT i * ((SELECT max(total) FROM ids) - 1) // 4 AS pos FROM range(5) r(i)), picked AS (SELECT station_id FROM ids WHERE total <= 5 OR pos IN (SELECT pos FROM picks))
+"""
+
+
+@query(_PICKED + "SELECT station_id, ts, bikes FROM (SELECT DISTINCT station_id, ts, bikes FROM station_dataset) WHERE station_id IN (SELECT station_id FROM picked)")
+def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of five evenly spread stations."""
+    rows = table(spark, d, "station_dataset").select("station_id", "ts", "bikes").distinct()
+    return rows.join(sequences.systematic_sample(rows, "station_id", 5), "station_id", "left_semi")
+
+
 # --- map ----------------------------------------------------------------------
 
 _INFO = "SELECT station_id, station_name AS name, lat, lon, capacity FROM station_info WHERE station_id IS NOT NULL"
@@ -451,7 +464,7 @@ FROM ({_LIST}) JOIN ({_INFO}) USING (station_id) WHERE lat IS NOT NULL"""
 
 
 def _info(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "station_info").withColumnRenamed("station_name", "name")
+    return table(spark, d, "station_info").select("station_id", F.col("station_name").alias("name"), "lat", "lon", "capacity")
 
 
 def _listed(spark: SparkSession, d: str) -> DataFrame:

@@ -36,6 +36,11 @@ class VersionedTable:
         found = self.versions()
         return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
 
+    def read_before(self, version: int) -> DataFrame | None:
+        """The newest snapshot older than ``version``."""
+        found = [v for v in self.versions() if v < version]
+        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+
     def merge(self, batch: DataFrame, batch_id: int, fold) -> None:
         found = self.versions()
         if found and found[-1] >= batch_id:
@@ -70,6 +75,43 @@ def pane_writer(state: VersionedTable, width: int, values: list[str]):
     return write
 
 
+class LateAggregator:
+    """Windows by event time, corrected as late rows arrive, with a cut-off per entity.
+
+    Kept under ``path``: ``panes`` (partial sums), ``tops`` (largest event time
+    per entity), ``set_aside`` (rows past the cut-off, a folder per batch) and
+    ``emitted`` (the windows a batch changed). Batches must come in order of
+    arrival; a repeated batch rewrites its own folders and changes no state.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, width: int, values: list[str], cutoff: int):
+        self.spark, self.path, self.width, self.values, self.cutoff = spark, path.rstrip("/"), width, values, cutoff
+        self.panes, self.tops = VersionedTable(spark, f"{self.path}/panes"), VersionedTable(spark, f"{self.path}/tops")
+
+    def _classified(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = panes.lateness(batch, self.cutoff)
+        tops = self.tops.read_before(batch_id)
+        if tops is None:
+            return rows
+        seen = F.col("top") - F.col("event")
+        worse = F.when(seen > self.cutoff, "too_late").when((seen > 0) & (F.col("lateness") == "on_time"), "late").otherwise(F.col("lateness"))
+        return rows.join(tops, "entity", "left").withColumn("lateness", worse).drop("top")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """``batch`` as made by :func:`panes.arrivals`."""
+        rows = self._classified(batch, batch_id).persist()
+        try:
+            rows.where("lateness = 'too_late'").write.mode("overwrite").parquet(f"{self.path}/set_aside/batch={batch_id}")
+            changed = panes.event_panes(rows.where("lateness <> 'too_late'"), self.width, self.values)
+            self.panes.merge(changed, batch_id, lambda current, new: panes.merge_panes(current, new, self.values))
+            now = self.panes.read().join(changed.select("entity", "pane_start"), ["entity", "pane_start"], "left_semi")
+            now.write.mode("overwrite").parquet(f"{self.path}/emitted/batch={batch_id}")
+            tops = rows.groupBy("entity").agg(F.max("event").alias("top"))
+            self.tops.merge(tops, batch_id, lambda current, new: current.unionByName(new).groupBy("entity").agg(F.max("top").alias("top")))
+        finally:
+            rows.unpersist()
+
+
 def jdbc_writer(url: str, table: str, staging: str, **options: str):
     """foreachBatch function: stage the batch's newest windows, then merge them under the guard. Works with any MERGE dialect."""
 

@@ -43,13 +43,17 @@ def test_every_query_runs_on_empty_tables(spark, tiny, tmp_path):
         q(spark, d).count()
 
 
-@pytest.mark.parametrize("change", ["with_null_rows", "with_clashes", "repeated"])
-def test_every_query_runs_on_odd_tables(spark, tiny, tmp_path, change):
+def test_station_queries_run_on_odd_tables(spark, tiny, tmp_path):
+    """Rows of NULLs, repeated rows and extra columns at once; the pN_ queries have tests of their own."""
     import variants
 
-    d = variants.write(tiny, str(tmp_path), getattr(variants, change))
+    odd = lambda name, t: variants.repeated(name, variants.with_clashes(name, variants.with_null_rows(name, t)))
+    d = variants.write(tiny, str(tmp_path), odd)
     for name, q in QUERIES.items():
-        q(spark, d).count()
+        if not (name[0] == "p" and name[1].isdigit()):
+            df = q(spark, d)
+            assert df.columns == q(spark, tiny).columns, name
+            df.count()
 
 
 def test_filters_and_columns_reach_the_scan(spark):

@@ -166,6 +166,18 @@ def test_history_prunes_partitions(spark, tmp_path):
     assert df.count() == 2 and "PartitionFilters: [isnotnull(event_date" in df._jdf.queryExecution().toString()
 
 
+def test_measures_are_rebuilt_by_date(spark, tmp_path):
+    from dockline.streaming import sinks
+
+    message = '{"station_id": 1, "stationCode": "1", "num_bikes_available": 2, "is_installed": 1, "last_reported": 5, "ingested_at": %s}'
+    rows = spark.createDataFrame([(bytearray((message % t).encode()),) for t in (1_772_400_000, 1_772_500_000, "null")], "value binary")
+    for _ in range(2):
+        sinks.write_measures(pipeline.measures(rows), str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert back.count() == 2 and back.select("ingest_date").distinct().count() == 2
+    assert pipeline.grid(back).count() == 2
+
+
 def test_peek(spark):
     df = spark.createDataFrame([(1, 5, b"k", b"v"), (0, 9, b"a", b"b")], "partition int, offset long, key binary, value binary")
     assert [tuple(r) for r in sources.peek(df, 1).collect()] == [(0, 9, "a", "b")]

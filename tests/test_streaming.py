@@ -73,6 +73,27 @@ def test_panes_kept_by_a_stream_equal_the_batch(spark, tmp_path):
     assert key(state.read()) == key(whole)
 
 
+def test_late_rows_correct_a_stream_and_the_cutoff_sets_apart(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = sorted(((i, rng.choice([1, 2]), 10 * i - rng.choice([0, 0, 0, 50, 400, 900]), 10 * i + rng.randint(0, 3), i % 9) for i in range(120)), key=lambda r: r[3])
+    df = spark.createDataFrame(rows, "id int, s int, ev long, ar long, v int")
+    agg = sinks.LateAggregator(spark, str(tmp_path / "late"), 300, ["v"], 600)
+    bounds = [0, 300, 700, 2000]
+    for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = panes.arrivals(df.where((F.col("ar") >= a) & (F.col("ar") < b)), "s", "ev", "ar", ["id", "v"])
+        agg.write(part, n)
+        agg.write(part, n)
+    judged = panes.lateness(panes.arrivals(df, "s", "ev", "ar", ["id", "v"]), 600)
+    whole = panes.event_panes(judged.where("lateness <> 'too_late'"), 300, ["v"])
+    key = lambda d: sorted(tuple(r) for r in d.select(*whole.columns).collect())
+    assert key(agg.panes.read()) == key(whole)
+    aside = {r.id for r in spark.read.parquet(f"{tmp_path}/late/set_aside").collect()}
+    assert aside == {r.id for r in judged.where("lateness = 'too_late'").collect()} and aside
+    assert spark.read.parquet(f"{tmp_path}/late/emitted").count() > whole.count(), "some windows were sent out again"
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     state = sinks.VersionedTable(spark, str(tmp_path / "t"))
     df = spark.createDataFrame([(1, "a", 1)], "station_id long, station_code string, window_start long")
