@@ -59,13 +59,16 @@ def hampel(times: DataFrame, measures: tuple[str, ...], share: float, suspect: f
     near, back, ahead, sofar = w.rowsBetween(-reach, reach), w.rowsBetween(-look, -1), w.rowsBetween(1, look), w.rowsBetween(Window.unboundedPreceding, 0)
     out = spread
     for c in measures:
-        out = out.withColumn(f"near_{c}", F.sort_array(F.collect_list(f"rep_{c}").over(near)))
+        out = out.withColumn(f"near_{c}", F.collect_list(f"rep_{c}").over(near))
     for c in measures:
-        out = out.withColumn(f"med_{c}", F.when(F.size(f"near_{c}") > 0, _median(F.col(f"near_{c}"))))
-        spread_c = F.sort_array(F.expr(f"transform(near_{c}, x -> abs(x - med_{c}))"))
-        out = out.withColumn(f"mad_{c}", F.when(F.size(f"near_{c}") > 0, _median(spread_c)))
-        limit = F.greatest(F.col("size") * suspect, F.col(f"mad_{c}") * (1.4826 * sigmas))
-        out = out.withColumn(f"dev_{c}", _apart(c, F.col(f"med_{c}")) > limit).drop(f"near_{c}", f"mad_{c}", f"med_{c}")
+        hi, lo, known = F.col(f"hi_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}").isNotNull() & F.col("size").isNotNull()
+        # most neighbourhoods are too narrow for any suspect; only the others are sorted
+        wide = F.greatest(F.array_max(f"near_{c}"), hi) - F.least(F.array_min(f"near_{c}"), lo) > F.col("size") * suspect
+        out = out.withColumn(f"med_{c}", F.when(known & wide, _median(F.sort_array(f"near_{c}"))))
+        off = F.coalesce(_apart(c, F.col(f"med_{c}")), F.lit(0.0)) > F.col("size") * suspect
+        out = out.withColumn(f"mad_{c}", F.when(known & wide & off, _median(F.sort_array(F.expr(f"transform(near_{c}, x -> abs(x - med_{c}))")))))
+        dev = F.when(known, F.coalesce(_apart(c, F.col(f"med_{c}")) > F.greatest(F.col("size") * suspect, F.col(f"mad_{c}") * (1.4826 * sigmas)), F.lit(False)))
+        out = out.withColumn(f"dev_{c}", dev).drop(f"near_{c}", f"mad_{c}", f"med_{c}")
     for c in measures:
         out = out.withColumn(f"seen_{c}", F.sum(F.coalesce(F.col(f"dev_{c}").cast("int"), F.lit(0))).over(sofar))
     for c in measures:
