@@ -121,7 +121,7 @@ def test_empty_mixture(spark):
 REAL = "The night ferry was repainted last spring and the gardeners brought a map. Mix 8 grams of flour with warm water and wait 15 minutes."
 CASES = {
     "Welcome back, {{ first_name }}!\n" + REAL: True, "Call us at null today.\n" + REAL: True, "Posted on [ENTER DATE] in _YOUR TOWN_\n" + REAL: True, "Hello #N/A, your order is on its way. " + REAL: True,
-    "Price from N/A-VALUE per day\n" + REAL: True, "Dear %%city%%, thank you.": True, "Willkommen in &company;": True,
+    "Price from N/A-VALUE per day\n" + REAL: True, "Dear %%city%%, thank you.": True, "Willkommen in &company;": True, "Hello ${value}, your order {{ template }} is on its way. " + REAL: True,
     "Page not found\nTry again later.\nImprint - Privacy - Terms": True, "Home | Shop | Contact\n403 - Forbidden\nYou don't have permission to view this resource.": True,
     "Please enable JavaScript Change your browser settings and load the page again.": True, "Bitte aktivieren Sie JavaScript": True, "PÃ¡gina no encontrada\nIntÃ©ntelo mÃ¡s tarde.": True,
     "A day in Tamville\nLorem ipsum dolor sit amet velit ligula morbi.": True, "foo qwer hjkl hjkl asdf zzz bar xxx": True, "Opening hours\nSample headline Sample headline\nYour text goes here.": True,
