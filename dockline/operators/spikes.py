@@ -31,13 +31,19 @@ def source_sizes(rows: DataFrame) -> DataFrame:
     return sums.groupBy("source").agg(F.percentile("s", F.lit(0.5), F.col("n")).alias("size"))
 
 
+def _pair(narrow: bool) -> Column:
+    """Both measures as one comparable value, NULL if either is; of two 32-bit integers one long, which aggregates without sorting."""
+    both = F.shiftleft(F.col("a").cast("bigint"), 32).bitwiseOR(F.col("b").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))) if narrow else F.struct("a", "b")
+    return F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), both)
+
+
 def report_times(rows: DataFrame) -> DataFrame:
     """One row per (source, at): extremes and last value of each measure, first and last pair, whether all pairs are equal."""
-    pair = F.struct("a", "b")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("tie")))
     return rows.groupBy("source", "at").agg(
         *[f(c).alias(f"{n}_{c}") for c in ("a", "b") for n, f in (("lo", F.min), ("hi", F.max), ("rep", last))],
-        F.min_by(pair, "tie").alias("enter"), F.max_by(pair, "tie").alias("leave"), F.min(pair).eqNullSafe(F.max(pair)).alias("pure"))
+        F.min_by("pair", "tie").alias("enter"), F.max_by("pair", "tie").alias("leave"),
+        ((F.count("pair") == 0) | ((F.count("pair") == F.count("*")) & (F.min("pair") == F.max("pair")))).alias("pure"))
 
 
 def _apart(c: str, level: Column) -> Column:
@@ -93,7 +99,7 @@ def stuck_halves(times: DataFrame, least: int, chunk: int = 4096) -> DataFrame:
         F.array(F.struct(F.lit(0).alias("half"), F.col("enter").alias("pair")), F.struct(F.lit(1).alias("half"), F.col("leave").alias("pair"))))
     items = times.select("source", "at", "rank", F.expr(f"rank div {chunk}").alias("chunk"), F.explode(halves).alias("h")).select("source", "at", "rank", "chunk", "h.half", "h.pair")
     w = Window.partitionBy("source", "chunk").orderBy("rank", "half")
-    whole = F.col("pair.a").isNotNull() & F.col("pair.b").isNotNull()
+    whole = F.col("pair").isNotNull()
     joins = whole & (F.col("half") == 0) & F.coalesce(F.col("pair") == F.lag("pair").over(w), F.lit(False))
     segmented = (
         items.withColumn("joins", joins)
@@ -103,16 +109,15 @@ def stuck_halves(times: DataFrame, least: int, chunk: int = 4096) -> DataFrame:
     parts = segmented.groupBy("source", "chunk", "seg").agg(
         F.first("pair").alias("pair"), F.count("*").alias("n"), F.max("at_end").alias("at_end"), F.min("half").alias("half"), F.min(F.struct("rank", "half")).alias("lead"))
     parts = parts.withColumn("at_start", F.col("seg") == 1)
-    alone = parts.where(~F.col("at_start") & ~F.col("at_end")).where(F.col("n") >= least).select("source", "chunk", "seg")
+    alone = parts.where(~F.col("at_start") & ~F.col("at_end") & (F.col("n") >= least) & whole).select("source", "chunk", "seg")
     edge = Window.partitionBy("source").orderBy("chunk", "seg")
     prev = F.lag(F.struct("chunk", "at_end", "pair")).over(edge)
-    pair_whole = F.col("pair.a").isNotNull() & F.col("pair.b").isNotNull()
-    goes_on = F.col("at_start") & pair_whole & (F.col("lead.half") == 0) & F.coalesce((F.col("prev.chunk") == F.col("chunk") - 1) & F.col("prev.at_end") & (F.col("prev.pair") == F.col("pair")), F.lit(False))
+    goes_on = F.col("at_start") & whole & (F.col("lead.half") == 0) & F.coalesce((F.col("prev.chunk") == F.col("chunk") - 1) & F.col("prev.at_end") & (F.col("prev.pair") == F.col("pair")), F.lit(False))
     border = (
         parts.where("at_start or at_end").withColumn("prev", prev)
         .withColumn("run", F.sum((~goes_on).cast("int")).over(edge.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("total", F.sum("n").over(Window.partitionBy("source", "run")))
-        .where((F.col("total") >= least) & pair_whole)
+        .where((F.col("total") >= least) & whole)
         .select("source", "chunk", "seg")
     )
     found = alone.unionByName(border)
@@ -122,7 +127,12 @@ def stuck_halves(times: DataFrame, least: int, chunk: int = 4096) -> DataFrame:
 def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, share: float = 0.4, above: float = 1.3, longest: int = 3, stuck: int = 60, reach: int = 6, suspect: float = 0.3, sigmas: float = 1.0) -> DataFrame:
     """(tie, reason): rows out of bounds, spiking or stuck; a row may have several reasons."""
     rows = df.where(F.col(source).isNotNull() & F.col(at).isNotNull()).select(
-        F.col(source).alias("source"), F.col(at).cast("long").alias("at"), F.col(tie).alias("tie"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+        F.col(source).alias("source"), F.col(at).cast("long").alias("at"), F.col(tie).alias("tie"), F.col(a).alias("a"), F.col(b).alias("b"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("a", "b")]
+    narrow = set(kinds) <= {"int", "smallint", "tinyint"}
+    # integers are widened before sums, anything else is read as double
+    wide = "bigint" if set(kinds) <= {"int", "smallint", "tinyint", "bigint"} else "double"
+    rows = rows.withColumn("pair", _pair(narrow)).withColumns({c: F.col(c).cast(wide) for c in ("a", "b")})
     times = cut_lineage(ranked(report_times(rows), ["source"], ["at"], F.expr(f"at div {_BUCKET}"), source_sizes(rows)))
     judged = hampel(times, ("a", "b"), share, suspect, sigmas, reach, longest).select("source", "at", *[f"{k}_{c}" for c in ("a", "b") for k in ("spike", "from", "back")])
     halves = stuck_halves(times, stuck).groupBy("source", "at").agg(F.max(F.col("half") == 0).alias("stuck_0"), F.max(F.col("half") == 1).alias("stuck_1"))
@@ -137,7 +147,7 @@ def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, s
     spikes = lambda c: F.coalesce(F.col(f"spike_{c}") & (F.least(F.abs(F.col(c) - F.col(f"from_{c}")), F.abs(F.col(c) - F.col(f"back_{c}"))) > F.col("size") * share), F.lit(False))
     # in a time with several pairs only the rows before the first change, or from the last one on, belong to the stretch
     mixed = hit.where((F.col("stuck_0") | F.col("stuck_1")) & ~F.col("pure"))
-    same = lambda p: F.struct("a", "b").eqNullSafe(F.col(p))
+    same = lambda p: F.col("pair").eqNullSafe(F.col(p))
     ends = mixed.groupBy("source", "at").agg(F.min(F.when(~same("enter"), F.col("tie"))).alias("until"), F.max(F.when(~same("leave"), F.col("tie"))).alias("since"))
     held = (F.col("stuck_0") & (F.col("pure") | (F.col("tie") < F.col("until")))) | (F.col("stuck_1") & (F.col("tie") > F.col("since")))
     reasons = F.array_compact(F.array(

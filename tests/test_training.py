@@ -150,6 +150,16 @@ def test_spikes_bounds_and_moves(spark):
     assert {(51, "bounds"), (91, "bounds"), (92, "bounds")} <= got and not any(221 < i < 279 and k == "spike" for i, k in got)
 
 
+def test_measures_with_fractions(spark):
+    rows = [[i + 1, 1, 60 * i, 10.0 + (0.25 if i % 2 else 0.0), 10.0] for i in range(200)]
+    rows[100][3] = 17.9
+    for i in range(120, 190):
+        rows[i][3] = 10.5
+    df = spark.createDataFrame([tuple(r) for r in rows], "id long, s int, t long, a double, b double")
+    got = {(r.tie, r.reason) for r in spikes.implausible(df, "s", "t", "id", "a", "b", share=0.3, suspect=0.2).collect()}
+    assert got == {(101, "spike")} | {(i + 1, "stuck") for i in range(120, 190)}
+
+
 def test_stuck_stretch_over_chunk_borders(spark):
     rows = _walk(9000, 2)
     for i in range(4050, 4250):
