@@ -132,8 +132,8 @@ def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, s
     narrow = set(kinds) <= {"int", "smallint", "tinyint"}
     # integers are widened before sums, anything else is read as double
     wide = "bigint" if set(kinds) <= {"int", "smallint", "tinyint", "bigint"} else "double"
-    rows = rows.withColumn("pair", _pair(narrow)).withColumns({c: F.col(c).cast(wide) for c in ("a", "b")})
-    times = cut_lineage(ranked(report_times(rows), ["source"], ["at"], F.expr(f"at div {_BUCKET}"), source_sizes(rows)))
+    rows = rows.withColumns({c: F.col(c).cast(wide) for c in ("a", "b")})
+    times = cut_lineage(ranked(report_times(rows.withColumn("pair", _pair(narrow))), ["source"], ["at"], F.expr(f"at div {_BUCKET}"), source_sizes(rows)))
     judged = hampel(times, ("a", "b"), share, suspect, sigmas, reach, longest).select("source", "at", *[f"{k}_{c}" for c in ("a", "b") for k in ("spike", "from", "back")])
     halves = stuck_halves(times, stuck).groupBy("source", "at").agg(F.max(F.col("half") == 0).alias("stuck_0"), F.max(F.col("half") == 1).alias("stuck_1"))
     bad = (F.col("lo_a") < 0) | (F.col("lo_b") < 0) | F.coalesce((F.col("hi_a") > F.col("size") * above) | (F.col("hi_b") > F.col("size") * above), F.lit(False))
@@ -142,7 +142,7 @@ def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, s
         .join(judged, ["source", "at"], "left").join(halves, ["source", "at"], "left")
         .where(F.col("bad") | F.col("spike_a") | F.col("spike_b") | F.col("stuck_0") | F.col("stuck_1"))
     )
-    hit = cut_lineage(rows.join(suspects, ["source", "at"]))
+    hit = cut_lineage(rows.join(suspects, ["source", "at"]).withColumn("pair", _pair(narrow)))
     out_of = lambda c: F.coalesce((F.col(c) < 0) | (F.col(c) > F.col("size") * above), F.lit(False))
     spikes = lambda c: F.coalesce(F.col(f"spike_{c}") & (F.least(F.abs(F.col(c) - F.col(f"from_{c}")), F.abs(F.col(c) - F.col(f"back_{c}"))) > F.col("size") * share), F.lit(False))
     # in a time with several pairs only the rows before the first change, or from the last one on, belong to the stretch
