@@ -145,6 +145,13 @@ def test_a_value_that_never_changes_is_wording(spark):
     assert got == {100, 101, 102}
 
 
+def test_syntax_and_mirrors_are_no_wording(spark):
+    rows = [(i, f"Our price is {{{{price}}}} EUR in shop {i}. " + REAL) for i in range(30)] + [(100 + i, "Call us at null today.\n" + REAL) for i in range(12)]
+    rows += [(200, "Price: null EUR\n" * 9 + REAL)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {i for i, _ in rows}
+
+
 def test_sentences_seen_only_on_error_pages_belong_to_them(spark):
     error = "Page not found\nThe lamp keeper has put this leaf away for good."
     rows = [(i, error) for i in range(30)] + [(100 + i, REAL) for i in range(30)]
