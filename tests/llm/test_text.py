@@ -152,6 +152,13 @@ def test_syntax_and_mirrors_are_no_wording(spark):
     assert got == {i for i, _ in rows}
 
 
+def test_filled_records_show_the_slot(spark):
+    rows = [(i, f"Our greeting goes to None from the coast {i}.") for i in range(12)] + [(100 + i, f"Our greeting goes to {n} from the coast.") for i, n in enumerate(["Anna", "Old Tom", "Eve"])]
+    rows += [(200, "Our greeting goes to  from the coast."), (201, "Our greeting goes to from the coast.")] + [(300 + i, f"Each label reads size None of them here {i}.") for i in range(20)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {*range(12), 200}
+
+
 def test_sentences_seen_only_on_error_pages_belong_to_them(spark):
     error = "Page not found\nThe lamp keeper has put this leaf away for good."
     rows = [(i, error) for i in range(30)] + [(100 + i, REAL) for i in range(30)]
