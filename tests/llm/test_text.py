@@ -159,6 +159,17 @@ def test_filled_records_show_the_slot(spark):
     assert got == {*range(12), 200}
 
 
+def test_filler_and_mash_of_any_making():
+    page = residue.PageScanner().page
+    usual = ("Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation "
+             "ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. "
+             "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.")
+    for text, kind in ((usual + " " + usual, "filler"), ("heading text heading text heading text.", "filler"), ("sdfgsdfg lkjlkj oiuy.", "mash"), ("Zzzzz mmmmmm.", "mash")):
+        assert page(text)[:2] == ([kind], 0), text
+    for text in (REAL, "We were quite pretty, true power of property.", "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae."):
+        assert page(text)[0] == [], text
+
+
 def test_sentences_seen_only_on_error_pages_belong_to_them(spark):
     error = "Page not found\nThe lamp keeper has put this leaf away for good."
     rows = [(i, error) for i in range(30)] + [(100 + i, REAL) for i in range(30)]
