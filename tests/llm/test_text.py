@@ -170,6 +170,13 @@ def test_filler_and_mash_of_any_making():
         assert page(text)[0] == [], text
 
 
+def test_explaining_words_give_way_to_labels_and_slots(spark):
+    rows = [(0, "Order value: {{amount}}\n" + REAL), (1, "Der Wert Ihrer Bestellung: {{ total }}\n" + REAL), (2, "Your template value is undefined. " + REAL)]
+    rows += [(10, "Your template value is high. " + REAL), (11, "Your template value is 7. " + REAL), (12, "Writing {{ title }} prints the value: it is long. " + REAL)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {0, 1, 2}
+
+
 def test_sentences_seen_only_on_error_pages_belong_to_them(spark):
     error = "Page not found\nThe lamp keeper has put this leaf away for good."
     rows = [(i, error) for i in range(30)] + [(100 + i, REAL) for i in range(30)]
