@@ -177,6 +177,20 @@ def test_explaining_words_give_way_to_labels_and_slots(spark):
     assert got == {0, 1, 2}
 
 
+def test_long_prompts_and_other_marks(spark):
+    marks = ["[First Name]", "<your name>", "%NAME%", "{0}", "______"]
+    rows = [(0, "[INSERT A SHORT DESCRIPTION OF YOUR COMPANY AND OF ITS HISTORY SINCE THE FOUNDING]\n" + REAL)]
+    rows += [(10 + i, f"Dear {m}, your parcel has left.\n" + REAL) for i, m in enumerate(marks)] + [(20 + i, f"Dear {n}, your parcel has left.\n" + REAL) for i, n in enumerate(["Anna", "Tom Lee", "Eve"])]
+    rows += [(30, "History [edit] of the town <b>and</b> its bridges %a% {1}. " + REAL), (31, "Dear [CLS], your parcel has left.\n" + REAL)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {0, 10, 11, 12, 13, 14}
+
+
+def test_a_prompt_is_bounded_by_its_bracket_in_linear_time():
+    page = residue.PageScanner().page
+    assert page("(INSERT NAME " * 20_000)[3] == [] and page("[" * 100_000)[3] == []
+
+
 def test_sentences_seen_only_on_error_pages_belong_to_them(spark):
     error = "Page not found\nThe lamp keeper has put this leaf away for good."
     rows = [(i, error) for i in range(30)] + [(100 + i, REAL) for i in range(30)]
