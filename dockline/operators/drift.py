@@ -97,12 +97,23 @@ def _alike(p: str, q: str) -> Column:
     return F.when((F.col(f"{p}.kind") == F.col(f"{q}.kind")) & (far <= 0.9), far)
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """The pairs to take in each step: from the closest on, each whose fields are both still free."""
+    listed = pairs.groupBy("feed", "file_no").agg(F.array_sort(F.collect_list(F.struct("far", "old_name", "new_name", "old", "new"))).alias("all"))
+    kind = listed.schema["all"].dataType.simpleString()
+    taken = F.aggregate(
+        "all", F.array().cast(kind),
+        lambda acc, p: F.when(F.exists(acc, lambda x: (x["old_name"] == p["old_name"]) | (x["new_name"] == p["new_name"])), acc).otherwise(F.concat(acc, F.array(p))))
+    return listed.select("feed", "file_no", F.inline(taken))
+
+
 def migrations(messages: DataFrame, feed: str, file_no: str, line_no: str, value: str) -> DataFrame:
     """(feed, file_no, change_kind, field_name, old_name, old_kind, new_kind): the steps between neighbouring files.
 
     A removed and an added field of one step are a rename when they have the
     same type and values of the same scale and shape; with several candidates
-    the closest pair, values first and names second, is taken on both sides.
+    the closest pair, values first and names second, is taken on both sides, then
+    the closest of the fields left over, until no pair is left.
     Candidates are the few fields that one step adds and removes.
     """
     # a row per file and field: read by every comparison below, so the records are parsed once
@@ -121,8 +132,7 @@ def migrations(messages: DataFrame, feed: str, file_no: str, line_no: str, value
     removed = both.where("new is null").select("feed", "file_no", F.col("name").alias("old_name"), "old")
     close = _alike("old", "new") + F.levenshtein(_bare(F.col("old_name")), _bare(F.col("new_name"))) / (F.length("old_name") + F.length("new_name"))
     pairs = removed.join(added, ["feed", "file_no"]).withColumn("far", close).where("far is not null")
-    best = lambda k: F.row_number().over(Window.partitionBy("feed", "file_no", k).orderBy("far", "old_name", "new_name"))
-    pairs = pairs.withColumn("i", best("old_name")).withColumn("j", best("new_name")).where("i = 1 and j = 1")
+    pairs = _closest(pairs)
     renamed = pairs.select("feed", "file_no", F.lit("renamed").alias("change_kind"), F.col("new_name").alias("field_name"), "old_name", F.col("old.kind").alias("old_kind"), F.col("new.kind").alias("new_kind"))
     gone = removed.join(renamed.select("feed", "file_no", "old_name"), ["feed", "file_no", "old_name"], "left_anti").select(
         "feed", "file_no", F.lit("removed").alias("change_kind"), F.col("old_name").alias("field_name"), "old_name", F.col("old.kind").alias("old_kind"), F.lit(None).cast("string").alias("new_kind"))

@@ -204,6 +204,14 @@ def test_drift_steps(spark):
     assert got == {(2, "renamed", "sid"), (2, "retyped", "is_renting"), (2, "removed", "old"), (2, "added", "tag")}
 
 
+def test_two_renames_in_one_step(spark):
+    a = [f'{{"is_renting": {i % 2}, "is_returning": {i % 2}}}' for i in range(4)]
+    b = [f'{{"rentalOpen": {i % 2}, "returning": {i % 2}}}' for i in range(4)]
+    m = _messages(spark, [a, b])
+    steps = drift.migrations(m, "feed_id", "file_no", "line_no", "msg_value")
+    assert {(r.change_kind, r.old_name, r.field_name) for r in steps.collect()} == {("renamed", "is_renting", "rentalOpen"), ("renamed", "is_returning", "returning")}
+
+
 def test_what_is_a_record(spark):
     lines = ['\t{"k": 1}\r\n', '{"k": 1} {"k": 2}', '{"k": "a} {b"}', '{"k": 1} x', '{"k": 12345678901234567890}', '{"k": 2.0}', '{"k": NaN}', '{"k": null}', "{'k': 1}"]
     got = {(r.line_no, r.name, r.kind) for r in drift.fields(_messages(spark, [lines]), "feed_id", "file_no", "line_no", "msg_value").collect()}
