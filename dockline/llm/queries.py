@@ -31,12 +31,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(spark, d, "documents"), "doc_id", "text")
+    return residue.residue(table(spark, d, "documents"), "doc_id", "text", "url")
+
+
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What decided on each document: an aligned slot or the form alone, cues, learned page templates or one text under many addresses."""
+    return residue.judged(table(spark, d, "documents"), "doc_id", "text", "url").select(F.col("key").alias("doc_id"), "how").distinct()
 
 
 def p10_rest(spark: SparkSession, d: str) -> DataFrame:
-    return residue.without_residue(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "source", "n_chars")
+    return residue.without_residue(table(spark, d, "documents"), "doc_id", "text", "url").select("doc_id", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares, p10_found, p10_rest)}
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares, p10_found, p10_reasons, p10_rest)}
 SQL: dict[str, str] = {}

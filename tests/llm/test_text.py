@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import variants
 from conftest import DATA
-from dockline.llm import bpe, lexicon, mixing, queries, residue
+from dockline.llm import bpe, mixing, queries, residue
 
 FOLDER = os.path.dirname(bpe.VOCABULARY)
 
@@ -139,71 +139,127 @@ def test_residue_cases(spark):
     assert residue.without_residue(df, "doc_id", "text").count() == len(CASES) + 1 - sum(CASES.values())
 
 
-def test_a_value_that_never_changes_is_wording(spark):
+def _found(spark, rows):
+    return {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+
+
+def test_a_name_of_a_missing_value_that_never_changes_is_wording(spark):
     rows = [(i, f"Each label reads size None of them here {i}.") for i in range(20)] + [(100 + i, f"Our guide sends greetings to {v} from the coast.") for i, v in enumerate(["null", "{{ name }}", "None"])]
-    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert got == {100, 101, 102}
+    assert _found(spark, rows) == {100, 101, 102}
+
+
+def test_unfilled_copies_are_found_however_many(spark):
+    rows, want, n = [], set(), 0
+    for t, k in enumerate((1, 7, 8, 20, 2000)):
+        letter = f"your parcel number {'abcde'[t] * 3} has left the yard."
+        for i in range(40):
+            rows.append((n := n + 1, f"Dear {['Anna', 'Tom Lee', 'Eve', 'Old Jo'][i % 4]}, {letter}\n{REAL} {i}"))
+        for i in range(k):
+            rows.append((n := n + 1, f"Dear {{{{first_name}}}}, {letter}\n{REAL}"))
+            want.add(n)
+    assert _found(spark, rows) == want
+
+
+@pytest.mark.parametrize("value", ["[First Name]", "<your name>", "%NAME%", "{0}", "______", "FIRSTNAME", "first_name", "", "null"])
+def test_filled_records_show_what_is_left_unfilled(spark, value):
+    rows = [(i, f"Dear {n}, your parcel has left.\n{REAL} {i}") for i, n in enumerate(["Anna", "Tom Lee", "Eve", "Kim", "Lea"] * 8)]
+    rows += [(100 + i, f"Dear {value}, your parcel has left.\n{REAL} {i}") for i in range(10)]
+    assert _found(spark, rows) == set(range(100, 110))
+
+
+def test_defaults_named_like_the_variable(spark):
+    rows = [(i, f"Dear {n}, your parcel has left.\n{REAL} {i}") for i, n in enumerate(["Anna", "Tom Lee", "Eve", "Kim"] * 5)]
+    rows += [(100, "Dear {{first_name}}, your parcel has left.\n" + REAL), (101, "Dear First Name, your parcel has left.\n" + REAL)]
+    assert _found(spark, rows) == {100, 101}
+
+
+def test_marks_gaps_and_names_without_a_slot_say_nothing(spark):
+    rows = [(i, t + "\n" + REAL) for i, t in enumerate(["Dear [First Name], your parcel has left.", "Dear , the red parcel has left.", "Dear FIRSTNAME, that parcel has left.", "Dear [CLS], old parcels have left.", "History [edit] of the town <b>and</b> its bridges %a% {1}."])]
+    rows += [(10 + i, f"The dog , which {v} home , was old .") for i, v in enumerate(["came", "ran", "went", "saw"])]
+    assert _found(spark, rows) == set()
 
 
 def test_syntax_and_mirrors_are_no_wording(spark):
     rows = [(i, f"Our price is {{{{price}}}} EUR in shop {i}. " + REAL) for i in range(30)] + [(100 + i, "Call us at null today.\n" + REAL) for i in range(12)]
     rows += [(200, "Price: null EUR\n" * 9 + REAL)]
-    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert got == {i for i, _ in rows}
-
-
-def test_filled_records_show_the_slot(spark):
-    rows = [(i, f"Our greeting goes to None from the coast {i}.") for i in range(12)] + [(100 + i, f"Our greeting goes to {n} from the coast.") for i, n in enumerate(["Anna", "Old Tom", "Eve"])]
-    rows += [(200, "Our greeting goes to  from the coast."), (201, "Our greeting goes to from the coast.")] + [(300 + i, f"Each label reads size None of them here {i}.") for i in range(20)]
-    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert got == {*range(12), 200}
+    assert _found(spark, rows) == {i for i, _ in rows}
 
 
 def test_filler_and_mash_of_any_making():
-    page = residue.PageScanner().page
+    page = lambda t: (lambda o: (o["kinds"][0], o["content"][0]))(residue.PageScanner().pages([t]))
     usual = ("Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation "
              "ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. "
              "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.")
-    for text, kind in ((usual + " " + usual, "filler"), ("heading text heading text heading text.", "filler"), ("sdfgsdfg lkjlkj oiuy.", "mash"), ("Zzzzz mmmmmm.", "mash")):
-        assert page(text)[:2] == ([kind], 0), text
-    for text in (REAL, "We were quite pretty, true power of property.", "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae."):
-        assert page(text)[0] == [], text
+    for text, kind in ((usual + " " + usual, "filler"), ("heading text heading text heading text.", "filler"), ("Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia.", "filler"), ("sdfgsdfg lkjlkj oiuy.", "mash"), ("asdfgh jkl; zxcvbnm", "mash"), ("Zzzzz mmmmmm.", "mash")):
+        kinds, content = page(text)
+        assert kind in kinds and content == 0, text
+    for text in (REAL, "We were quite pretty, true power of property.", "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae.", "Привет, это обычная страница о городе. Здесь живут люди и кошки."):
+        assert page(text)[0] == [] and page(text)[1], text
 
 
 def test_explaining_words_give_way_to_labels_and_slots(spark):
     rows = [(0, "Order value: {{amount}}\n" + REAL), (1, "Der Wert Ihrer Bestellung: {{ total }}\n" + REAL), (2, "Your template value is undefined. " + REAL)]
     rows += [(10, "Your template value is high. " + REAL), (11, "Your template value is 7. " + REAL), (12, "Writing {{ title }} prints the value: it is long. " + REAL)]
-    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert got == {0, 1, 2}
+    assert _found(spark, rows) == {0, 1, 2}
 
 
-def test_long_prompts_and_other_marks(spark):
-    marks = ["[First Name]", "<your name>", "%NAME%", "{0}", "______"]
-    rows = [(0, "[INSERT A SHORT DESCRIPTION OF YOUR COMPANY AND OF ITS HISTORY SINCE THE FOUNDING]\n" + REAL)]
-    rows += [(10 + i, f"Dear {m}, your parcel has left.\n" + REAL) for i, m in enumerate(marks)] + [(20 + i, f"Dear {n}, your parcel has left.\n" + REAL) for i, n in enumerate(["Anna", "Tom Lee", "Eve"])]
-    rows += [(30, "History [edit] of the town <b>and</b> its bridges %a% {1}. " + REAL), (31, "Dear [CLS], your parcel has left.\n" + REAL)]
-    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert got == {0, 10, 11, 12, 13, 14}
+def test_long_prompts(spark):
+    rows = [(0, "[INSERT A SHORT DESCRIPTION OF YOUR COMPANY AND OF ITS HISTORY SINCE THE FOUNDING]\n" + REAL), (1, "See [insert coin here] on the wall of the arcade. " + REAL)]
+    assert _found(spark, rows) == {0}
 
 
 def test_a_prompt_is_bounded_by_its_bracket_in_linear_time():
-    page = residue.PageScanner().page
-    assert page("(INSERT NAME " * 20_000)[3] == [] and page("[" * 100_000)[3] == []
+    page = residue.PageScanner().pages
+    assert page(["(INSERT NAME " * 20_000])["slots"] == [[]] and page(["[" * 100_000])["slots"] == [[]]
+
+
+UNSEEN = [
+    "Sorry, we couldn't find that page. It looks like nothing was found at this location. Maybe one of the links below or a search?",
+    "502 Proxy Error\nThe proxy server received an invalid response from an upstream server.", "You have JavaScript turned off. Please turn it on to view this site.",
+    "Pagina non trovata\nLa pagina che stai cercando non esiste.", "Erro 404\nA página que procura não existe.",
+]
+
+
+def test_unseen_error_pages(spark):
+    rows = [(i, t) for i, t in enumerate(UNSEEN * 50)] + [(1000 + i, f"{REAL} The {w} lamp was lit at dusk.") for i, w in enumerate("red old new big tin".split() * 9)]
+    assert _found(spark, rows) == set(range(250))
+
+
+def test_one_text_under_many_addresses_is_a_template_but_mirrors_are_not(spark):
+    page, article = "Nichts da heute, die Lampe bleibt aus.", "The heron stood by the old weir all morning long."
+    rows = [(i, f"https://a{i % 3}.test/x/{i}?q=1", page) for i in range(30)] + [(100 + i, f"https://m{i}.test/heron", article) for i in range(30)]
+    got = residue.judged(spark.createDataFrame(rows, "doc_id long, url string, text string"), "doc_id", "text", "url").collect()
+    assert {(r.key, r.how) for r in got} == {(i, "addresses") for i in range(30)}
+
+
+def test_sentences_seen_only_beside_cues_belong_to_the_page(spark):
+    words = "amber birch cedar dove elm fern gull heron iris jay".split()
+    rows = [(i, f"Page not found\nThe lamp keeper has put this leaf away for good.\nRef {w}") for i, w in enumerate(words)]
+    rows += [(100 + i, f"{REAL}\nThe {w} bench was painted green by the school.") for i, w in enumerate(words)]
+    assert _found(spark, rows) == set(range(10))
+
+
+def test_content_without_full_stops(spark):
+    table = "\n".join(f"{n} bridge built {1900 + i} length {i * 3} m" for i, n in enumerate(["North", "South", "East", "West", "Mill", "Town", "Lake", "Harbour", "Castle", "Forest", "Market", "Abbey"]))
+    japanese = "この町には古い橋があり、多くの人が毎日それを渡って市場へ行きます。\n川のそばには小さな図書館もあります。"
+    assert _found(spark, [(1, table + "\nPlease enable JavaScript"), (2, japanese + "\nPlease enable JavaScript"), (3, "Please enable JavaScript")]) == {3}
 
 
-def test_sentences_seen_only_on_error_pages_belong_to_them(spark):
-    error = "Page not found\nThe lamp keeper has put this leaf away for good."
-    rows = [(i, error) for i in range(30)] + [(100 + i, REAL) for i in range(30)]
-    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert got == set(range(30))
+def test_more_hashes_than_one_reading_looks_for(spark, monkeypatch):
+    rows = [(i, f"Dear {n}, the {w} parcel has left.") for w in ("red", "blue", "green") for i, n in enumerate(["Anna", "Tom", "Eve"], 10 * len(w))]
+    rows += [(100 + i, f"Dear [First Name], the {w} parcel has left.") for i, w in enumerate(("red", "blue", "green"))]
+    want = _found(spark, rows)
+    monkeypatch.setattr(residue, "_LOOKED", 1)
+    assert _found(spark, rows) == want == {100, 101, 102}
 
 
-def test_phrases_are_found_garbled():
-    page = residue.PageScanner()
-    for phrase in lexicon.PHRASES["error"]:
-        text = phrase.replace("?", "x-1")
-        for t in (text, text.encode().decode("latin-1"), text.encode("latin-1", "replace").decode("utf-8", "replace")):
-            assert page.page(t)[0] == ["error"] and page.page(t)[1] == 0, t
+def test_pieces_of_a_long_page_are_one_page(monkeypatch):
+    text = (REAL + "\n") * 50 + "Dear {{name}}, welcome.\nPage not found\n"
+    whole = residue.PageScanner().pages([text, "x", text])
+    monkeypatch.setattr(residue, "_PIECE", 100)
+    cut = residue.PageScanner().pages([text, "x", text])
+    for c in ("kinds", "content", "suspect", "words", "templates", "slots"):
+        assert list(whole[c]) == list(cut[c]), c
 
 
 @pytest.mark.parametrize("change", [variants.with_null_rows, variants.with_clashes])
