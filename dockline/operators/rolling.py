@@ -13,6 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockline.session import shuffle_partitions
+
+#: Steps of a calendar block.
+_CALENDAR = 4096
+
 
 def filled_steps(df: DataFrame, entity: str, time: str, value: str, step: int, fill_limit: int) -> DataFrame:
     """(entity, step_no, value): each step with the value of the freshest row at most ``fill_limit`` steps before.
@@ -32,17 +37,18 @@ def filled_steps(df: DataFrame, entity: str, time: str, value: str, step: int, f
 
 
 def rolling_steps(filled: DataFrame, width: int, block: int = 288) -> DataFrame:
-    """(entity, step_no, mean, std): over ``width`` steps ending at the step, NULL unless all are known.
+    """(entity, step_no, value, is_filled, mean, std): over ``width`` steps ending at the step, NULL unless all are known.
 
-    Steps are cut into blocks of ``block``; the last ``width - 1`` steps of a
-    block are also given to the next one, so no entity is one task. Sums are of
-    integers, so mean and sample deviation carry no accumulated error.
+    Steps are cut into blocks of ``block``, or of ``width`` if that is more; a
+    step is also given to every later block whose windows reach back to it, so
+    no entity is one task, whatever the width. Sums are of integers, so mean and
+    sample deviation carry no accumulated error. A width of 1 has no deviation.
     """
-    home = F.expr(f"step_no div {block}")
-    spread = (
-        filled.withColumn("home", home)
-        .withColumn("blk", F.explode(F.array_compact(F.array(F.col("home"), F.when(F.col("step_no") % block > block - width, F.col("home") + 1)))))
-    )
+    if width < 1:
+        raise ValueError("a window has at least one step")
+    block = max(block, width)
+    in_block = lambda n: ((n - F.pmod(n, F.lit(block))) / block).cast("bigint")
+    spread = filled.withColumn("home", in_block(F.col("step_no"))).withColumn("blk", F.explode(F.sequence(F.col("home"), in_block(F.col("step_no") + (width - 1)))))
     w = Window.partitionBy("entity", "blk").orderBy("step_no").rangeBetween(-(width - 1), 0)
     v = F.col("value")
     return (
@@ -51,18 +57,21 @@ def rolling_steps(filled: DataFrame, width: int, block: int = 288) -> DataFrame:
         .select(
             "entity", "step_no", "value", "is_filled",
             F.when(F.col("n") == width, F.col("s") / width).alias("mean"),
-            F.when(F.col("n") == width, F.sqrt((F.col("q") * width - F.col("s") * F.col("s")) / (width * (width - 1)))).alias("std"))
+            F.when((F.col("n") == width) & (width > 1), F.sqrt((F.col("q") * width - F.col("s") * F.col("s")) / max(width * (width - 1), 1))).alias("std"))
     )
 
 
 def every_step(rolled: DataFrame) -> DataFrame:
     """``rolled`` with a calendar row for each step between an entity's first and last row; unknown values are NULL.
 
-    Claims beyond the last row are left out. The calendar is made per entity
-    from two numbers and joined by hash on (entity, step).
+    Claims beyond the last row are left out. The calendar is made from two numbers
+    per entity, in blocks that are dealt out before they are opened, and joined
+    by hash on (entity, step).
     """
     own = rolled.where("not is_filled").groupBy("entity").agg(F.min("step_no").alias("a"), F.max("step_no").alias("z"))
-    calendar = own.select("entity", F.explode(F.sequence("a", "z")).alias("step_no"))
+    # a block opens into thousands of rows: by its size alone the next exchange would be one task
+    blocks = own.select("entity", "z", F.explode(F.sequence("a", "z", F.lit(_CALENDAR).cast("bigint"))).alias("a")).repartition(shuffle_partitions(rolled.sparkSession), "entity", "a")
+    calendar = blocks.select("entity", F.explode(F.sequence("a", F.least("z", F.col("a") + (_CALENDAR - 1)))).alias("step_no"))
     return calendar.join(rolled, ["entity", "step_no"], "left").withColumn("is_filled", F.coalesce("is_filled", F.lit(False)))
 
 

@@ -28,7 +28,6 @@ def deliveries(df: DataFrame, number: str) -> DataFrame:
 
 def snapshot_changes(df: DataFrame, number: str, key: str, row_no: str, fields: list[str]) -> DataFrame:
     """(number, key, change_kind, changed_fields) between each snapshot and the one delivered before it."""
-    spark = df.sparkSession
     state = (
         df.where(F.col(number).isNotNull() & F.col(key).isNotNull())
         .select(F.col(number).alias("number"), F.col(key).alias("key"), F.col(row_no).alias("row_no"), F.struct(*[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)]).alias("cells"))
@@ -44,7 +43,7 @@ def snapshot_changes(df: DataFrame, number: str, key: str, row_no: str, fields:
             F.when(F.col("next_number").isNotNull(), F.struct(F.col("next_number").alias("number"), F.lit(-1).alias("sign")))))))
         .select(F.col("into.number").alias("number"), "key", F.col("into.sign").alias("sign"), "cells")
         # both sides of a transition meet here; the cell sums below then need no further exchange
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "number", "key")
+        .repartition("number", "key")
     )
     cells = F.array(
         F.struct(F.lit("").alias("field"), F.lit("").alias("value")),

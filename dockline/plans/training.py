@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.operators import drift, panes, regular_grid, rolling, runs, snapshots, spikes
+from dockline.operators import drift, panes, regular_grid, rolling, snapshots, spikes
 from dockline.session import table
 
 STEP = 300
@@ -101,17 +101,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_reasons(spark, d).select("msg_id").distinct()
 
 
-def p6_runs(spark: SparkSession, d: str) -> DataFrame:
-    out = runs.collapse_runs(table(spark, d, "station_status"), "station_id", "last_reported", "msg_id", "num_bikes_available")
-    return out.select(
-        F.col("entity").alias("station_id"), F.col("value").alias("num_bikes_available"), F.col("n").alias("n_messages"), F.col("first_at").alias("first_reported"), F.col("last_at").alias("last_reported"),
-        F.col("duration").alias("duration_s"), F.col("min_tie").alias("min_msg_id"), F.col("max_tie").alias("max_msg_id"))
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_runs(spark, d).where("n_messages >= 5").select("station_id", "min_msg_id", "max_msg_id")
-
-
 _RAW = ("feed_id", "file_no", "line_no", "msg_value")
 
 
@@ -134,7 +123,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_grid, p1_counter, p2_found, p2_steps, p2_daily, p3_found, p3_windows, p3_emissions, p4_found, p4_fields,
-    p5_found, p5_reasons, p6_found, p6_runs, p7_found, p7_changes, p7_fingerprints, p7_table)}
+    p5_found, p5_reasons, p7_found, p7_changes, p7_fingerprints, p7_table)}
 
 # --- the same in SQL ----------------------------------------------------------
 
@@ -168,12 +157,6 @@ a AS (SELECT s.*, o.before FROM s JOIN o USING (snapshot_no) WHERE before IS NOT
 """
 _DIFFERS = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in SNAPSHOT_FIELDS)
 _BOTH = "a JOIN b ON b.into_no = a.snapshot_no AND b.station_id = a.station_id"
-_RUNS = """WITH r AS (SELECT station_id, last_reported AS t, msg_id, num_bikes_available AS v, num_bikes_available IS DISTINCT FROM lag(num_bikes_available) OVER w AS b FROM station_status
-WHERE station_id IS NOT NULL AND last_reported IS NOT NULL AND num_bikes_available IS NOT NULL WINDOW w AS (PARTITION BY station_id ORDER BY last_reported, msg_id)),
-i AS (SELECT *, sum(CAST(b AS INTEGER)) OVER (PARTITION BY station_id ORDER BY t, msg_id) AS island FROM r),
-runs AS (SELECT station_id, any_value(v) AS num_bikes_available, count(*) AS n_messages, min(t) AS first_reported, max(t) AS last_reported, max(t) - min(t) AS duration_s, min(msg_id) AS min_msg_id, max(msg_id) AS max_msg_id FROM i GROUP BY station_id, island)
-"""
-
 SQL = {
     "p1_found": f"SELECT station_id, bin_epoch FROM ({_GRID}) WHERE is_missing",
     "p1_grid": _GRID,
@@ -192,6 +175,4 @@ SELECT station_id, window_start, batch_start, CAST(row_number() OVER w - 1 AS IN
 UNION ALL SELECT snapshot_no, station_id, 'added' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.into_no = a.snapshot_no AND b.station_id = a.station_id)
 UNION ALL SELECT into_no, station_id, 'removed' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.into_no = a.snapshot_no AND b.station_id = a.station_id)""",
     "p4_fields": _SNAP + " UNION ALL ".join(f"SELECT a.snapshot_no, a.station_id, '{c}' AS field_name FROM {_BOTH} WHERE a.{c} IS DISTINCT FROM b.{c}" for c in SNAPSHOT_FIELDS),
-    "p6_found": _RUNS + "SELECT station_id, min_msg_id, max_msg_id FROM runs WHERE n_messages >= 5",
-    "p6_runs": _RUNS + "SELECT * FROM runs",
 }

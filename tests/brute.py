@@ -128,25 +128,6 @@ def p5(status):
     return {(m, k) for m, ks in out.items() for k in ks}
 
 
-def runs(status):
-    by = defaultdict(list)
-    for r in _rows(status):
-        if None not in (r["station_id"], r["last_reported"], r["num_bikes_available"]):
-            by[int(r["station_id"])].append((r["last_reported"], int(r["msg_id"]), r["num_bikes_available"]))
-    out = set()
-    for s, rows in by.items():
-        rows.sort()
-        i = 0
-        while i < len(rows):
-            j = i
-            while j + 1 < len(rows) and rows[j + 1][2] == rows[i][2]:
-                j += 1
-            ids = [r[1] for r in rows[i : j + 1]]
-            out.add((s, min(ids), max(ids), j - i + 1, int(rows[j][0] - rows[i][0])))
-            i = j + 1
-    return out
-
-
 def _kind(v):
     return {bool: "boolean", int: "integer", float: "number", str: "string", dict: "object", list: "array"}[type(v)]
 

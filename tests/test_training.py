@@ -8,12 +8,12 @@ import pytest
 import brute
 import variants
 from conftest import DATA
-from dockline.operators import drift, panes, regular_grid, rolling, runs, snapshots, spikes
+from dockline.operators import drift, panes, regular_grid, rolling, snapshots, spikes
 from dockline.plans.training import QUERIES
 
 COLUMNS = {
     "p1_found": ["station_id", "bin_epoch"], "p2_found": ["station_id", "bin_epoch"], "p3_found": ["msg_id", "lateness"], "p4_found": ["snapshot_no", "station_id", "change_kind"],
-    "p5_reasons": ["msg_id", "reason"], "p6_found": ["station_id", "min_msg_id", "max_msg_id"], "p7_found": ["feed_id", "file_no", "change_kind", "field_name"]}
+    "p5_reasons": ["msg_id", "reason"], "p7_found": ["feed_id", "file_no", "change_kind", "field_name"]}
 
 
 def frame(d, name):
@@ -32,8 +32,6 @@ def expected(name, d):
         data = frame(d, "station_dataset")
         data["ts"] = data.ts.dt.tz_localize("UTC")
         return brute.p2(frame(d, "station_grid"), data)
-    if name == "p6_found":
-        return {r[:3] for r in brute.runs(frame(d, "station_status")) if r[3] >= 5}
     f, t = {"p1_found": (brute.p1, "station_measures"), "p3_found": (brute.p3, "station_status"), "p4_found": (brute.p4, "station_snapshots"), "p5_reasons": (brute.p5, "station_status"), "p7_found": (brute.p7, "raw_messages")}[name]
     return f(frame(d, t))
 
@@ -91,6 +89,18 @@ def test_rolling_agrees_with_pandas(spark):
         assert (have.isna() == want.isna()).all() and np.allclose(have.dropna(), want.dropna(), atol=1e-9)
 
 
+@pytest.mark.parametrize("width", [1, 2, 289, 300, 2016])
+def test_rolling_of_any_width(spark, width):
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 40, 5000)
+    df = spark.createDataFrame(pd.DataFrame({"e": 7, "t": np.arange(-500, 4500) * 300, "v": values}))
+    got = rolling.rolling_steps(rolling.filled_steps(df, "e", "t", "v", 300, 0), width).toPandas().set_index("step_no").sort_index()
+    full = pd.Series(values, index=range(-500, 4500), dtype=float)
+    for column, want in (("mean", full.rolling(width).mean()), ("std", full.rolling(width).std())):
+        have = got[column].astype(float)
+        assert (have.isna() == want.isna()).all() and np.allclose(have.dropna(), want.dropna(), atol=1e-9)
+
+
 def test_trailing_days_fill_the_calendar(spark):
     df = spark.createDataFrame([(1, 0, 4), (1, 10, 6), (1, 86400 * 8, 7)], "e int, t long, v int")
     got = {r.day_no: (r.total, r.total_7, r.avg_7, r.total_30) for r in rolling.trailing_days(df, "e", "t", "v").collect()}
@@ -171,26 +181,6 @@ def test_stuck_stretch_over_chunk_borders(spark):
     assert not _implausible(spark, old), "one old report time sent again and again is no case"
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_runs_against_plain_version(spark, seed):
-    rng = np.random.default_rng(seed)
-    n = 4000
-    f = pd.DataFrame({"msg_id": np.arange(n), "station_id": rng.choice([1, 1, 1, 2], n), "last_reported": np.sort(rng.integers(0, 90_000, n) // (1 if seed else 5000)), "num_bikes_available": (np.cumsum(rng.random(n) < 0.02) % 3).astype(int)})
-    got = runs.collapse_runs(spark.createDataFrame(f), "station_id", "last_reported", "msg_id", "num_bikes_available").collect()
-    assert {(r.entity, r.min_tie, r.max_tie, r.n, r.duration) for r in got} == brute.runs(f)
-
-
-def test_one_long_run_reaches_its_start(spark):
-    f = spark.range(3000).selectExpr("id as m", "1 as s", "id * 7 as t", "5 as v")
-    r = runs.collapse_runs(f, "s", "t", "m", "v").collect()
-    assert [(x.n, x.first_at, x.last_at, x.min_tie, x.max_tie) for x in r] == [(3000, 0, 2999 * 7, 0, 2999)]
-
-
-def test_near_identical_runs(spark):
-    f = spark.createDataFrame([(i, 1, i, float(v)) for i, v in enumerate([1, 1.4, 1.9, 5, 5.2, 9])], "m int, s int, t int, v double")
-    assert sorted((r.n, r.value) for r in runs.collapse_runs(f, "s", "t", "m", "v", tolerance=0.5).collect()) == [(1, 9.0), (2, 5.0), (3, 1.0)]
-
-
 def _messages(spark, files):
     rows = [(1, n + 1, i, None if v is None else v.encode()) for n, lines in enumerate(files) for i, v in enumerate(lines)]
     return spark.createDataFrame(rows, "feed_id int, file_no int, line_no int, msg_value binary")
