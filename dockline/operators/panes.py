@@ -58,6 +58,8 @@ def event_panes(rows: DataFrame, width: int, values: list[str], extra: list[str]
 
 def compose_windows(panes: DataFrame, width: int, per_window: int, values: list[str], extra: list[str] = ()) -> DataFrame:
     """Windows of ``per_window`` panes, one beginning at each pane boundary that has a row under it."""
+    if per_window == 1:
+        return panes.withColumnRenamed("pane_start", "window_start")
     spread = panes.withColumn("window_start", F.explode(F.array(*[F.col("pane_start") - i * width for i in range(per_window)])))
     aggs = [F.sum("n").alias("n")]
     for v in values:
@@ -65,20 +67,20 @@ def compose_windows(panes: DataFrame, width: int, per_window: int, values: list[
     return spread.groupBy("entity", "window_start", *extra).agg(*aggs)
 
 
-def emissions(rows: DataFrame, width: int, batch: int, values: list[str], cutoff: int, pane: int = 3600) -> DataFrame:
-    """What a consumer would see: each window again after every arrival batch that changed its pane.
+def emissions(rows: DataFrame, width: int, batch: int, values: list[str], cutoff: int, pane: int = 3600, per_window: int = 1) -> DataFrame:
+    """What a consumer would see: each window again after every arrival batch that changed one of its panes.
 
     (entity, window_start, batch, revision, n, sum_*, n_*): revision 0 is the
     first result; later ones are corrections by late rows. Rows past the cut-off
-    change nothing. The running merge is over the batches that touched one pane.
+    change nothing. A window covers ``per_window`` panes; the running merge is
+    over the batches that touched it.
     """
     kept = lateness(rows, cutoff, pane).where(F.col("lateness") != "too_late").withColumn("batch", F.expr(f"arrival div {batch}"))
-    parts = event_panes(kept, width, values, ["batch"])
-    w = Window.partitionBy("entity", "pane_start").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy("entity", "pane_start").orderBy("batch")
+    parts = compose_windows(event_panes(kept, width, values, ["batch"]), width, per_window, values, ["batch"])
+    order = Window.partitionBy("entity", "window_start").orderBy("batch")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
     columns = ["n", *[f"{k}_{v}" for v in values for k in ("sum", "n")]]
-    return parts.select(
-        "entity", F.col("pane_start").alias("window_start"), "batch", (F.row_number().over(order) - 1).alias("revision"), *[F.sum(c).over(w).alias(c) for c in columns])
+    return parts.select("entity", "window_start", "batch", (F.row_number().over(order) - 1).alias("revision"), *[F.sum(c).over(w).alias(c) for c in columns])
 
 
 def merge_panes(state: DataFrame, changed: DataFrame, values: list[str]) -> DataFrame:

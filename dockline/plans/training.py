@@ -70,6 +70,14 @@ def p3_windows(spark: SparkSession, d: str) -> DataFrame:
         *[F.round(F.try_divide(f"sum_{v}", f"n_{v}"), 4).alias(f"avg_{v[4:]}") for v in values])
 
 
+def p3_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 15 minutes that begin every 5 minutes, each the merge of the three panes it covers."""
+    rows = panes.arrivals(table(spark, d, "station_status"), "station_id", "last_reported", "ingested_at", ["num_bikes_available"])
+    kept = panes.event_panes(panes.lateness(rows, 600).where("lateness <> 'too_late'"), STEP, ["num_bikes_available"])
+    return panes.compose_windows(kept, STEP, 3, ["num_bikes_available"]).select(
+        F.col("entity").alias("station_id"), "window_start", F.col("n").alias("n_observations"), F.round(F.try_divide("sum_num_bikes_available", "n_num_bikes_available"), 4).alias("avg_bikes"))
+
+
 def p3_emissions(spark: SparkSession, d: str) -> DataFrame:
     """Every result that is sent out with arrival batches of a minute, first ones and corrections."""
     rows = panes.arrivals(table(spark, d, "station_status"), "station_id", "last_reported", "ingested_at", ["num_bikes_available"])
@@ -122,7 +130,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_grid, p1_counter, p2_found, p2_steps, p2_daily, p3_found, p3_windows, p3_emissions, p4_found, p4_fields,
+    p1_found, p1_grid, p1_counter, p2_found, p2_steps, p2_daily, p3_found, p3_windows, p3_sliding, p3_emissions, p4_found, p4_fields,
     p5_found, p5_reasons, p7_found, p7_changes, p7_fingerprints, p7_table)}
 
 # --- the same in SQL ----------------------------------------------------------
@@ -169,6 +177,8 @@ SELECT station_id, step_no * 300 AS bin_epoch, CAST(value AS BIGINT) AS bikes, c
     "p3_found": _LATE + "SELECT msg_id, lateness FROM late WHERE lateness <> 'on_time'",
     "p3_windows": _LATE + """SELECT station_id, last_reported // 300 * 300 AS window_start, count(*) FILTER (WHERE lateness <> 'too_late') AS n_observations, count(*) FILTER (WHERE lateness = 'too_late') AS n_too_late,
 round(avg(num_bikes_available) FILTER (WHERE lateness <> 'too_late'), 4) AS avg_bikes_available, round(avg(num_docks_available) FILTER (WHERE lateness <> 'too_late'), 4) AS avg_docks_available FROM late GROUP BY 1, 2""",
+    "p3_sliding": _LATE + """, o AS (SELECT station_id, last_reported // 300 * 300 - i * 300 AS window_start, num_bikes_available AS v FROM late, range(3) r(i) WHERE lateness <> 'too_late')
+SELECT station_id, window_start, count(*) AS n_observations, round(avg(v), 4) AS avg_bikes FROM o GROUP BY 1, 2""",
     "p3_emissions": _LATE + """, p AS (SELECT station_id, last_reported // 300 * 300 AS window_start, ingested_at // 60 * 60 AS batch_start, count(*) AS n, sum(num_bikes_available) AS s, count(num_bikes_available) AS k FROM late WHERE lateness <> 'too_late' GROUP BY 1, 2, 3)
 SELECT station_id, window_start, batch_start, CAST(row_number() OVER w - 1 AS INTEGER) AS revision, CAST(sum(n) OVER w AS BIGINT) AS n_observations, round(sum(s) OVER w / nullif(sum(k) OVER w, 0), 4) AS avg_bikes FROM p WINDOW w AS (PARTITION BY station_id, window_start ORDER BY batch_start)""",
     "p4_found": _SNAP + f"""SELECT a.snapshot_no, a.station_id, 'changed' AS change_kind FROM {_BOTH} WHERE {_DIFFERS}

@@ -46,8 +46,14 @@ class VersionedTable:
         if found and found[-1] >= batch_id:
             return
         current = self.read()
-        out = fold(current if current is not None else batch.limit(0), batch)
-        out.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        self.replace(fold(current if current is not None else batch.limit(0), batch), batch_id)
+
+    def replace(self, rows: DataFrame, version: int) -> None:
+        """``rows`` as the snapshot ``version``, unless that or a later one exists."""
+        found = self.versions()
+        if found and found[-1] >= version:
+            return
+        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
         fs, path = self._fs()
         for old in found[: max(0, len(found) + 1 - self.keep)]:
             fs.delete(path(f"{self.path}/v={old}"), True)
@@ -76,16 +82,19 @@ def pane_writer(state: VersionedTable, width: int, values: list[str]):
 
 
 class LateAggregator:
-    """Windows by event time, corrected as late rows arrive, with a cut-off per entity.
-
-    Kept under ``path``: ``panes`` (partial sums), ``tops`` (largest event time
-    per entity), ``set_aside`` (rows past the cut-off, a folder per batch) and
-    ``emitted`` (the windows a batch changed). Batches must come in order of
-    arrival; a repeated batch rewrites its own folders and changes no state.
+    """Windows of ``per_window`` panes by event time, corrected as late rows arrive, with a cut-off per entity.
+
+    Kept under ``path``: ``panes`` (partial sums of the panes a row may still
+    change or a changed window may still cover), ``tops`` (largest event time per
+    entity), and a folder per batch of ``closed`` (panes that left the state),
+    ``set_aside`` (rows past the cut-off) and ``emitted`` (the windows over the
+    panes that the batch changed, made again). An entity keeps at most
+    cutoff / width + 2 * per_window panes, however long the stream. Batches must
+    come in order of arrival; a repeated batch rewrites its own folders and changes no state.
     """
 
-    def __init__(self, spark: SparkSession, path: str, width: int, values: list[str], cutoff: int):
-        self.spark, self.path, self.width, self.values, self.cutoff = spark, path.rstrip("/"), width, values, cutoff
+    def __init__(self, spark: SparkSession, path: str, width: int, values: list[str], cutoff: int, per_window: int = 1):
+        self.spark, self.path, self.width, self.values, self.cutoff, self.per_window = spark, path.rstrip("/"), width, values, cutoff, per_window
         self.panes, self.tops = VersionedTable(spark, f"{self.path}/panes"), VersionedTable(spark, f"{self.path}/tops")
 
     def _classified(self, batch: DataFrame, batch_id: int) -> DataFrame:
@@ -97,20 +106,34 @@ class LateAggregator:
         worse = F.when(seen > self.cutoff, "too_late").when((seen > 0) & (F.col("lateness") == "on_time"), "late").otherwise(F.col("lateness"))
         return rows.join(tops, "entity", "left").withColumn("lateness", worse).drop("top")
 
+    def _is_closed(self):
+        """No row that still counts can reach a window over the pane."""
+        return F.col("pane_start") + self.width * self.per_window <= F.col("top") - self.cutoff
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` as made by :func:`panes.arrivals`."""
         rows = self._classified(batch, batch_id).persist()
         try:
             rows.where("lateness = 'too_late'").write.mode("overwrite").parquet(f"{self.path}/set_aside/batch={batch_id}")
             changed = panes.event_panes(rows.where("lateness <> 'too_late'"), self.width, self.values)
-            self.panes.merge(changed, batch_id, lambda current, new: panes.merge_panes(current, new, self.values))
-            now = self.panes.read().join(changed.select("entity", "pane_start"), ["entity", "pane_start"], "left_semi")
-            now.write.mode("overwrite").parquet(f"{self.path}/emitted/batch={batch_id}")
-            tops = rows.groupBy("entity").agg(F.max("event").alias("top"))
-            self.tops.merge(tops, batch_id, lambda current, new: current.unionByName(new).groupBy("entity").agg(F.max("top").alias("top")))
+            before, tops = self.panes.read_before(batch_id), self.tops.read_before(batch_id)
+            now = rows.groupBy("entity").agg(F.max("event").alias("top"))
+            tops = now if tops is None else tops.unionByName(now).groupBy("entity").agg(F.max("top").alias("top"))
+            merged = (changed if before is None else panes.merge_panes(before, changed, self.values)).join(tops, "entity").persist()
+            touched = changed.select("entity", F.explode(F.array(*[F.col("pane_start") - i * self.width for i in range(self.per_window)])).alias("window_start")).distinct()
+            windows = panes.compose_windows(merged.drop("top"), self.width, self.per_window, self.values)
+            windows.join(touched, ["entity", "window_start"], "left_semi").write.mode("overwrite").parquet(f"{self.path}/emitted/batch={batch_id}")
+            merged.where(self._is_closed()).drop("top").write.mode("overwrite").parquet(f"{self.path}/closed/batch={batch_id}")
+            self.panes.replace(merged.where(~self._is_closed()).drop("top"), batch_id)
+            self.tops.replace(tops, batch_id)
+            merged.unpersist()
         finally:
             rows.unpersist()
 
+    def all_panes(self) -> DataFrame:
+        """Open and closed panes together."""
+        return self.panes.read().unionByName(self.spark.read.parquet(f"{self.path}/closed").drop("batch"))
+
 
 def jdbc_writer(url: str, table: str, staging: str, **options: str):
     """foreachBatch function: stage the batch's newest windows, then merge them under the guard. Works with any MERGE dialect."""

@@ -88,12 +88,28 @@ def test_late_rows_correct_a_stream_and_the_cutoff_sets_apart(spark, tmp_path):
     judged = panes.lateness(panes.arrivals(df, "s", "ev", "ar", ["id", "v"]), 600)
     whole = panes.event_panes(judged.where("lateness <> 'too_late'"), 300, ["v"])
     key = lambda d: sorted(tuple(r) for r in d.select(*whole.columns).collect())
-    assert key(agg.panes.read()) == key(whole)
+    assert key(agg.all_panes()) == key(whole)
     aside = {r.id for r in spark.read.parquet(f"{tmp_path}/late/set_aside").collect()}
     assert aside == {r.id for r in judged.where("lateness = 'too_late'").collect()} and aside
     assert spark.read.parquet(f"{tmp_path}/late/emitted").count() > whole.count(), "some windows were sent out again"
 
 
+def test_sliding_windows_over_changed_panes_and_a_state_that_stops_growing(spark, tmp_path):
+    rows = [(1, 60 * i, 60 * i + 1, 1) for i in range(200)] + [(1, 5900, 6300, 1), (1, 100, 6301, 1)]
+    df = spark.createDataFrame(rows, "s int, ev long, ar long, v int")
+    agg, kept = sinks.LateAggregator(spark, str(tmp_path / "late"), 300, ["v"], 600, per_window=3), []
+    for n in range(5):
+        part = panes.arrivals(df.where((F.col("ar") >= 2500 * n) & (F.col("ar") < 2500 * (n + 1))), "s", "ev", "ar", ["v"])
+        agg.write(part, n)
+        kept.append(agg.panes.read().count())
+    assert max(kept) <= 600 // 300 + 2 * 3 and len(agg.panes.versions()) <= 3
+    judged = panes.lateness(panes.arrivals(df, "s", "ev", "ar", ["v"]), 600).where("lateness <> 'too_late'")
+    want = {(r.window_start, r.n) for r in panes.compose_windows(panes.event_panes(judged, 300, ["v"]), 300, 3, ["v"]).collect()}
+    sent = spark.read.parquet(f"{tmp_path}/late/emitted").groupBy("window_start").agg(F.max_by("n", "batch").alias("n")).collect()
+    assert {(r.window_start, r.n) for r in sent} == want
+    assert spark.read.parquet(f"{tmp_path}/late/set_aside").count() == 1
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     state = sinks.VersionedTable(spark, str(tmp_path / "t"))
     df = spark.createDataFrame([(1, "a", 1)], "station_id long, station_code string, window_start long")
