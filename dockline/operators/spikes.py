@@ -51,21 +51,18 @@ def _apart(c: str, level: Column) -> Column:
     return F.greatest(F.abs(F.col(f"hi_{c}") - level), F.abs(F.col(f"lo_{c}") - level))
 
 
-def hampel(times: DataFrame, measures: tuple[str, ...], share: float, suspect: float, sigmas: float, reach: int, longest: int, chunk: int = 4096) -> DataFrame:
-    """``times`` (ranked, with ``size``) plus, per measure, ``spike_*`` and the levels ``from_*`` and ``back_*`` beside it.
+def deviations(times: DataFrame, measures: tuple[str, ...], suspect: float, sigmas: float, reach: int, chunk: int = 4096) -> DataFrame:
+    """``times`` (ranked, with ``size``) with its ``chunk`` and, per measure, ``dev_*``: whether the time is suspect, NULL without a value.
 
     A time is suspect if one of its values is further from the rolling median
     over ``reach`` times on either side than ``suspect`` sizes and ``sigmas``
-    deviations. A spike is a stretch of at most ``longest`` suspect times between
-    two calm ones that agree, with a value more than ``share`` sizes from both.
+    scaled median absolute deviations.
     """
-    look = longest + 5
-    spread = with_halo(times, chunk, reach + look + 1)
-    w = Window.partitionBy("source", "chunk").orderBy("rank")
-    near, back, ahead, sofar = w.rowsBetween(-reach, reach), w.rowsBetween(-look, -1), w.rowsBetween(1, look), w.rowsBetween(Window.unboundedPreceding, 0)
-    out = spread
+    near = Window.partitionBy("source", "chunk").orderBy("rank").rowsBetween(-reach, reach)
+    out = with_halo(times, chunk, reach)
     for c in measures:
         out = out.withColumn(f"near_{c}", F.collect_list(f"rep_{c}").over(near))
+    out = out.where("own")
     for c in measures:
         hi, lo, known = F.col(f"hi_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}").isNotNull() & F.col("size").isNotNull()
         # most neighbourhoods are too narrow for any suspect; only the others are sorted
@@ -75,17 +72,39 @@ def hampel(times: DataFrame, measures: tuple[str, ...], share: float, suspect: f
         out = out.withColumn(f"mad_{c}", F.when(known & wide & off, _median(F.sort_array(F.expr(f"transform(near_{c}, x -> abs(x - med_{c}))")))))
         dev = F.when(known, F.coalesce(_apart(c, F.col(f"med_{c}")) > F.greatest(F.col("size") * suspect, F.col(f"mad_{c}") * (1.4826 * sigmas)), F.lit(False)))
         out = out.withColumn(f"dev_{c}", dev).drop(f"near_{c}", f"mad_{c}", f"med_{c}")
-    for c in measures:
-        out = out.withColumn(f"seen_{c}", F.sum(F.coalesce(F.col(f"dev_{c}").cast("int"), F.lit(0))).over(sofar))
-    for c in measures:
-        calm = F.when(~F.col(f"dev_{c}"), F.struct(F.col(f"rep_{c}").alias("v"), F.col(f"seen_{c}").alias("k")))
-        p, q = F.last(calm, ignorenulls=True).over(back), F.first(calm, ignorenulls=True).over(ahead)
-        out = out.withColumn(f"p_{c}", p).withColumn(f"q_{c}", q)
-        before, after, far = F.col(f"p_{c}.v"), F.col(f"q_{c}.v"), F.col("size") * share
-        short = F.col(f"q_{c}.k") - F.col(f"p_{c}.k") <= longest
-        spike = F.col(f"dev_{c}") & short & (F.abs(before - after) <= far) & (_apart(c, before) > far) & (_apart(c, after) > far)
-        out = out.withColumns({f"spike_{c}": F.coalesce(spike, F.lit(False)), f"from_{c}": before, f"back_{c}": after}).drop(f"p_{c}", f"q_{c}", f"dev_{c}", f"seen_{c}")
-    return out.where("own")
+    return out.drop("own")
+
+
+def spikes(suspected: DataFrame, c: str, share: float, longest: int) -> DataFrame:
+    """(source, at, level, back): times at which measure ``c`` spikes, with the levels before and after.
+
+    A spike is a stretch of at most ``longest`` suspect times between two calm ones
+    that agree, with a value more than ``share`` sizes from both, however many
+    times without a value lie between. Only suspect times and the calm ones
+    beside a time that isn't calm are looked at; levels beyond a chunk come from
+    one row per chunk.
+    """
+    along, back = Window.partitionBy("source", "chunk").orderBy("rank"), Window.partitionBy("source", "chunk").orderBy(F.desc("rank"))
+    calm = F.coalesce(~F.col(f"dev_{c}"), F.lit(False))
+    beside = ~F.coalesce(F.lag("calm").over(along), F.lit(False)) | ~F.coalesce(F.lead("calm").over(along), F.lit(False))
+    few = (
+        suspected.select("source", "chunk", "rank", "at", "size", f"hi_{c}", f"lo_{c}", F.col(f"rep_{c}").alias("v"), F.coalesce(F.col(f"dev_{c}"), F.lit(False)).alias("dev"), calm.alias("calm"))
+        .withColumn("beside", beside).where("dev or (calm and beside)"))
+    seen = F.sum(F.col("dev").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    level = F.when(F.col("calm"), F.struct("v", "seen"))
+    few = few.withColumn("seen", seen).withColumn("level", level)
+    latest = F.last("level", ignorenulls=True)
+    few = few.withColumn("p", latest.over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("q", latest.over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    # one row per chunk: suspect times before it, the last level of the chunks before and the first of those after
+    ends = few.groupBy("source", "chunk").agg(F.count_if("dev").alias("k"), F.min_by("level", F.when(F.col("calm"), F.col("rank"))).alias("head"), F.max_by("level", F.when(F.col("calm"), F.col("rank"))).alias("tail"))
+    chunks, rchunks = Window.partitionBy("source").orderBy("chunk"), Window.partitionBy("source").orderBy(F.desc("chunk"))
+    before = ends.withColumn("offset", F.coalesce(F.sum("k").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    moved = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.col(f"{x}.v").alias("v"), (F.col(f"{x}.seen") + F.col("offset")).alias("seen")))
+    before = before.withColumns({"head": moved("head"), "tail": moved("tail")})
+    before = before.withColumn("p_far", F.last("tail", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))).withColumn("q_far", F.last("head", ignorenulls=True).over(rchunks.rowsBetween(Window.unboundedPreceding, -1)))
+    judged = few.where("dev").join(before.select("source", "chunk", "offset", "p_far", "q_far"), ["source", "chunk"]).withColumn("p", F.coalesce(moved("p"), "p_far")).withColumn("q", F.coalesce(moved("q"), "q_far"))
+    a, b, far = F.col("p.v"), F.col("q.v"), F.col("size") * share
+    return judged.where((F.col("q.seen") - F.col("p.seen") <= longest) & (F.abs(a - b) <= far) & (_apart(c, a) > far) & (_apart(c, b) > far)).select("source", "at", a.alias(f"from_{c}"), b.alias(f"back_{c}"))
 
 
 def stuck_halves(times: DataFrame, least: int, chunk: int = 4096) -> DataFrame:
@@ -134,22 +153,26 @@ def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, s
     wide = "bigint" if set(kinds) <= {"int", "smallint", "tinyint", "bigint"} else "double"
     rows = rows.withColumns({c: F.col(c).cast(wide) for c in ("a", "b")})
     times = cut_lineage(ranked(report_times(rows.withColumn("pair", _pair(narrow))), ["source"], ["at"], F.expr(f"at div {_BUCKET}"), source_sizes(rows)))
-    judged = hampel(times, ("a", "b"), share, suspect, sigmas, reach, longest).select("source", "at", *[f"{k}_{c}" for c in ("a", "b") for k in ("spike", "from", "back")])
+    suspected = deviations(times, ("a", "b"), suspect, sigmas, reach)
+    # few rows: a time that spikes in both measures has two
+    levels = [f"{k}_{c}" for c in ("a", "b") for k in ("from", "back")]
+    found = spikes(suspected, "a", share, longest).unionByName(spikes(suspected, "b", share, longest), allowMissingColumns=True)
+    judged = found.groupBy("source", "at").agg(*[F.max(c).alias(c) for c in levels])
     halves = stuck_halves(times, stuck).groupBy("source", "at").agg(F.max(F.col("half") == 0).alias("stuck_0"), F.max(F.col("half") == 1).alias("stuck_1"))
     bad = (F.col("lo_a") < 0) | (F.col("lo_b") < 0) | F.coalesce((F.col("hi_a") > F.col("size") * above) | (F.col("hi_b") > F.col("size") * above), F.lit(False))
     suspects = (
         times.select("source", "at", "size", "enter", "leave", "pure", bad.alias("bad"))
         .join(judged, ["source", "at"], "left").join(halves, ["source", "at"], "left")
-        .where(F.col("bad") | F.col("spike_a") | F.col("spike_b") | F.col("stuck_0") | F.col("stuck_1"))
+        .where(F.col("bad") | F.col("from_a").isNotNull() | F.col("from_b").isNotNull() | F.col("stuck_0") | F.col("stuck_1"))
     )
     hit = cut_lineage(rows.join(suspects, ["source", "at"]).withColumn("pair", _pair(narrow)))
     out_of = lambda c: F.coalesce((F.col(c) < 0) | (F.col(c) > F.col("size") * above), F.lit(False))
-    spikes = lambda c: F.coalesce(F.col(f"spike_{c}") & (F.least(F.abs(F.col(c) - F.col(f"from_{c}")), F.abs(F.col(c) - F.col(f"back_{c}"))) > F.col("size") * share), F.lit(False))
+    spiking = lambda c: F.coalesce(F.least(F.abs(F.col(c) - F.col(f"from_{c}")), F.abs(F.col(c) - F.col(f"back_{c}"))) > F.col("size") * share, F.lit(False)) & F.col(f"from_{c}").isNotNull()
     # in a time with several pairs only the rows before the first change, or from the last one on, belong to the stretch
     mixed = hit.where((F.col("stuck_0") | F.col("stuck_1")) & ~F.col("pure"))
     same = lambda p: F.col("pair").eqNullSafe(F.col(p))
     ends = mixed.groupBy("source", "at").agg(F.min(F.when(~same("enter"), F.col("tie"))).alias("until"), F.max(F.when(~same("leave"), F.col("tie"))).alias("since"))
     held = (F.col("stuck_0") & (F.col("pure") | (F.col("tie") < F.col("until")))) | (F.col("stuck_1") & (F.col("tie") > F.col("since")))
     reasons = F.array_compact(F.array(
-        F.when(out_of("a") | out_of("b"), F.lit("bounds")), F.when(spikes("a") | spikes("b"), F.lit("spike")), F.when(F.coalesce(held, F.lit(False)), F.lit("stuck"))))
+        F.when(out_of("a") | out_of("b"), F.lit("bounds")), F.when(spiking("a") | spiking("b"), F.lit("spike")), F.when(F.coalesce(held, F.lit(False)), F.lit("stuck"))))
     return hit.join(ends, ["source", "at"], "left").select("tie", "source", "at", F.explode(reasons).alias("reason"))

@@ -160,6 +160,25 @@ def test_spikes_bounds_and_moves(spark):
     assert {(51, "bounds"), (91, "bounds"), (92, "bounds")} <= got and not any(221 < i < 279 and k == "spike" for i, k in got)
 
 
+@pytest.mark.parametrize("nulls", [0, 7, 8, 10, 100, 5000])
+def test_levels_are_found_beyond_any_stretch_without_values(spark, nulls):
+    """Also over the borders of chunks."""
+    head, tail = _walk(4090, 1), _walk(300, 5)
+    tail = [[4090 + nulls + i + 1, 1, 1000 + 60 * (4090 + nulls + i), head[-1][3], head[-1][4]] for i, _ in enumerate(tail)]
+    gap = [[4090 + i + 1, 1, 1000 + 60 * (4090 + i), None, None] for i in range(nulls)]
+    for i, r in enumerate(tail):
+        r[3], r[4] = r[3] + i % 2, r[4] - i % 2
+    spike = head[-1][3] + (20 if head[-1][3] < 20 else -20)
+    for at in (-2, -1):
+        head[at] = [*head[at][:3], spike, 20]
+    for r in head[-40:-2]:
+        r[3], r[4] = tail[0][3], tail[0][4]
+    rows = [*head, *gap, *tail]
+    got = {i for i, k in _implausible(spark, rows) if k == "spike"}
+    frame_ = pd.DataFrame(rows, columns=["msg_id", "station_id", "last_reported", "num_bikes_available", "num_docks_available"])
+    assert {4089, 4090} <= got and got == {i for i, k in brute.p5(frame_) if k == "spike"}
+
+
 def test_measures_with_fractions(spark):
     rows = [[i + 1, 1, 60 * i, 10.0 + (0.25 if i % 2 else 0.0), 10.0] for i in range(200)]
     rows[100][3] = 17.9
