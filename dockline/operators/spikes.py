@@ -52,7 +52,7 @@ def _apart(c: str, level: Column) -> Column:
 
 
 def deviations(times: DataFrame, measures: tuple[str, ...], suspect: float, sigmas: float, reach: int, chunk: int = 4096) -> DataFrame:
-    """``times`` (ranked, with ``size``) with its ``chunk`` and, per measure, ``dev_*``: whether the time is suspect, NULL without a value.
+    """Of ``times`` (ranked, with ``size``) the suspect ones and the calm ones beside a time that isn't calm, with ``chunk``, ``dev_*`` and ``calm_*`` per measure.
 
     A time is suspect if one of its values is further from the rolling median
     over ``reach`` times on either side than ``suspect`` sizes and ``sigmas``
@@ -72,7 +72,15 @@ def deviations(times: DataFrame, measures: tuple[str, ...], suspect: float, sigm
         out = out.withColumn(f"mad_{c}", F.when(known & wide & off, _median(F.sort_array(F.expr(f"transform(near_{c}, x -> abs(x - med_{c}))")))))
         dev = F.when(known, F.coalesce(_apart(c, F.col(f"med_{c}")) > F.greatest(F.col("size") * suspect, F.col(f"mad_{c}") * (1.4826 * sigmas)), F.lit(False)))
         out = out.withColumn(f"dev_{c}", dev).drop(f"near_{c}", f"mad_{c}", f"med_{c}")
-    return out.drop("own")
+    along, needed = Window.partitionBy("source", "chunk").orderBy("rank"), F.lit(False)
+    for c in measures:
+        out = out.withColumn(f"calm_{c}", F.coalesce(~F.col(f"dev_{c}"), F.lit(False))).withColumn(f"dev_{c}", F.coalesce(f"dev_{c}", F.lit(False)))
+    for c in measures:
+        # the first and the last row of a chunk have no neighbour, so a chunk's outermost calm times stay
+        alone = ~F.coalesce(F.lag(f"calm_{c}").over(along), F.lit(False)) | ~F.coalesce(F.lead(f"calm_{c}").over(along), F.lit(False))
+        out = out.withColumn(f"beside_{c}", F.col(f"calm_{c}") & alone)
+        needed = needed | F.col(f"dev_{c}") | F.col(f"beside_{c}")
+    return out.where(needed).select("source", "chunk", "rank", "at", "size", *[f"{k}_{c}" for c in measures for k in ("hi", "lo", "rep", "dev", "calm", "beside")])
 
 
 def spikes(suspected: DataFrame, c: str, share: float, longest: int) -> DataFrame:
@@ -80,16 +88,10 @@ def spikes(suspected: DataFrame, c: str, share: float, longest: int) -> DataFram
 
     A spike is a stretch of at most ``longest`` suspect times between two calm ones
     that agree, with a value more than ``share`` sizes from both, however many
-    times without a value lie between. Only suspect times and the calm ones
-    beside a time that isn't calm are looked at; levels beyond a chunk come from
-    one row per chunk.
+    times without a value lie between. Levels beyond a chunk come from one row per chunk.
     """
     along, back = Window.partitionBy("source", "chunk").orderBy("rank"), Window.partitionBy("source", "chunk").orderBy(F.desc("rank"))
-    calm = F.coalesce(~F.col(f"dev_{c}"), F.lit(False))
-    beside = ~F.coalesce(F.lag("calm").over(along), F.lit(False)) | ~F.coalesce(F.lead("calm").over(along), F.lit(False))
-    few = (
-        suspected.select("source", "chunk", "rank", "at", "size", f"hi_{c}", f"lo_{c}", F.col(f"rep_{c}").alias("v"), F.coalesce(F.col(f"dev_{c}"), F.lit(False)).alias("dev"), calm.alias("calm"))
-        .withColumn("beside", beside).where("dev or (calm and beside)"))
+    few = suspected.where(f"dev_{c} or beside_{c}").select("source", "chunk", "rank", "at", "size", f"hi_{c}", f"lo_{c}", F.col(f"rep_{c}").alias("v"), F.col(f"dev_{c}").alias("dev"), F.col(f"calm_{c}").alias("calm"))
     seen = F.sum(F.col("dev").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
     level = F.when(F.col("calm"), F.struct("v", "seen"))
     few = few.withColumn("seen", seen).withColumn("level", level)
@@ -153,7 +155,7 @@ def implausible(df: DataFrame, source: str, at: str, tie: str, a: str, b: str, s
     wide = "bigint" if set(kinds) <= {"int", "smallint", "tinyint", "bigint"} else "double"
     rows = rows.withColumns({c: F.col(c).cast(wide) for c in ("a", "b")})
     times = cut_lineage(ranked(report_times(rows.withColumn("pair", _pair(narrow))), ["source"], ["at"], F.expr(f"at div {_BUCKET}"), source_sizes(rows)))
-    suspected = deviations(times, ("a", "b"), suspect, sigmas, reach)
+    suspected = cut_lineage(deviations(times, ("a", "b"), suspect, sigmas, reach))
     # few rows: a time that spikes in both measures has two
     levels = [f"{k}_{c}" for c in ("a", "b") for k in ("from", "back")]
     found = spikes(suspected, "a", share, longest).unionByName(spikes(suspected, "b", share, longest), allowMissingColumns=True)
