@@ -1,10 +1,11 @@
 """Schemas that drift between files.
 
-Each file gets a fingerprint (its fields and their types). The step from a
-file's fingerprint to the next is written as explicit migration steps: added,
-removed, renamed, retyped. Records are then routed through the chained steps:
-names are followed back to the name the feed began with, aliases give the
-target column, missing fields get the default NULL, and values are cast.
+Each file gets a fingerprint (its fields and their types); a version of a feed's
+schema is a stretch of files with one fingerprint. Only where the fingerprint
+changes are the two versions compared and the difference written as explicit
+migration steps: added, removed, renamed, retyped. Records are then routed by
+version: a field's names are followed through the chained renames, back and
+forward, to a target column, values are cast, missing ones get the default.
 
 Defined results: bytes that aren't one JSON object (truncated text, empty
 values, arrays, bare null) are no records; JSON null is as a field left out; a
@@ -31,6 +32,8 @@ ALIASES = {
     "last_reported": ["lastreported", "lastreport", "reportedat"],
     "ingested_at": ["ingestedat", "capturedat", "polltime"],
 }
+#: What a field that a record doesn't have counts as.
+DEFAULTS: dict[str, object] = {c: None for c in ALIASES}
 TARGET = {c: "string" if c == "station_code" else "long" if c in ("station_id", "last_reported", "ingested_at") else "int" for c in ALIASES}
 
 
@@ -84,6 +87,13 @@ def fingerprints(profile: DataFrame) -> DataFrame:
     return prints.withColumn("new", new).withColumn("version", F.sum("new").over(w).cast("int")).drop("new")
 
 
+def changed_files(order: DataFrame, prints: DataFrame) -> DataFrame:
+    """(feed, file_no, prev_no) of the files whose fingerprint differs from that of the file delivered before; a file without fields has an empty one."""
+    w = Window.partitionBy("feed").orderBy("file_no")
+    own = F.coalesce("fingerprint", F.lit(""))
+    return order.join(prints, ["feed", "file_no"], "left").withColumn("own", own).withColumn("last", F.lag("own").over(w)).where("prev_no is not null and own <> last").select("feed", "file_no", "prev_no")
+
+
 def _bare(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
@@ -107,23 +117,24 @@ def _closest(pairs: DataFrame) -> DataFrame:
     return listed.select("feed", "file_no", F.inline(taken))
 
 
-def migrations(messages: DataFrame, feed: str, file_no: str, line_no: str, value: str) -> DataFrame:
+def migrations(messages: DataFrame, feed: str, file_no: str, line_no: str, value: str, cells: DataFrame | None = None) -> DataFrame:
     """(feed, file_no, change_kind, field_name, old_name, old_kind, new_kind): the steps between neighbouring files.
 
-    A removed and an added field of one step are a rename when they have the
-    same type and values of the same scale and shape; with several candidates
-    the closest pair, values first and names second, is taken on both sides, then
-    the closest of the fields left over, until no pair is left.
-    Candidates are the few fields that one step adds and removes.
+    Only files with another fingerprint than the file before are compared. A
+    removed and an added field of one step are a rename when they have the same
+    type and values of the same scale and shape; with several candidates the
+    closest pair, values first and names second, is taken on both sides, then the
+    closest of the fields left over, until no pair is left. Candidates are the
+    few fields that one step adds and removes. ``cells`` may hold the parsed :func:`fields`.
     """
     # a row per file and field: read by every comparison below, so the records are parsed once
-    profile = cut_lineage(profiles(fields(messages, feed, file_no, line_no, value)))
-    order = files(messages, feed, file_no)
-    now = profile.join(order, ["feed", "file_no"]).where("prev_no is not null")
-    after = order.where("prev_no is not null").select("feed", F.col("file_no").alias("next_no"), F.col("prev_no").alias("file_no"))
-    then = profile.join(after, ["feed", "file_no"]).drop("file_no").withColumnRenamed("next_no", "file_no")
+    profile = cut_lineage(profiles(fields(messages, feed, file_no, line_no, value) if cells is None else cells))
+    after = cut_lineage(changed_files(files(messages, feed, file_no), fingerprints(profile)))
+    now = profile.join(after, ["feed", "file_no"])
+    then = profile.join(after.select("feed", F.col("file_no").alias("next_no"), F.col("prev_no").alias("file_no")), ["feed", "file_no"]).drop("file_no").withColumnRenamed("next_no", "file_no")
     look = ["kind", "mean", "chars", "digits"]
-    both = (
+    # a row per field of a changed file
+    both = cut_lineage(
         now.select("feed", "file_no", "name", F.struct(*look).alias("new"))
         .join(then.select("feed", "file_no", "name", F.struct(*look).alias("old")), ["feed", "file_no", "name"], "full")
     )
@@ -132,7 +143,7 @@ def migrations(messages: DataFrame, feed: str, file_no: str, line_no: str, value
     removed = both.where("new is null").select("feed", "file_no", F.col("name").alias("old_name"), "old")
     close = _alike("old", "new") + F.levenshtein(_bare(F.col("old_name")), _bare(F.col("new_name"))) / (F.length("old_name") + F.length("new_name"))
     pairs = removed.join(added, ["feed", "file_no"]).withColumn("far", close).where("far is not null")
-    pairs = _closest(pairs)
+    pairs = cut_lineage(_closest(pairs))
     renamed = pairs.select("feed", "file_no", F.lit("renamed").alias("change_kind"), F.col("new_name").alias("field_name"), "old_name", F.col("old.kind").alias("old_kind"), F.col("new.kind").alias("new_kind"))
     gone = removed.join(renamed.select("feed", "file_no", "old_name"), ["feed", "file_no", "old_name"], "left_anti").select(
         "feed", "file_no", F.lit("removed").alias("change_kind"), F.col("old_name").alias("field_name"), "old_name", F.col("old.kind").alias("old_kind"), F.lit(None).cast("string").alias("new_kind"))
@@ -152,30 +163,54 @@ def _cast(text: Column, kind: str) -> Column:
     return F.coalesce(F.expr("try_cast(text as bigint)"), F.coalesce(number, F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), stamp)).cast("long"))
 
 
-def unified(messages: DataFrame, feed: str, file_no: str, line_no: str, value: str, steps: DataFrame) -> DataFrame:
-    """One table of the target columns for all records of all files.
+def routes(profile: DataFrame, steps: DataFrame) -> DataFrame:
+    """(feed, file_no, name, target, place): the target column of each field of each file that has one.
 
-    ``steps`` are the :func:`migrations`. A feed's renames are one short list
-    (its schema changes, not its rows); a field's name is followed back through
-    those up to its file, then looked up among the aliases. Numbers with a
-    fraction are cut to integers, yes/no and booleans become 1/0, time texts
-    become unix seconds; what can't be cast is NULL.
+    A field goes where its own name says, else where the names it had in earlier
+    or gets in later files say (a feed's renames are one short list: its schema
+    changes, not its rows), each first as it stands and then by its aliases. Of
+    several fields of a file with one target the one found first has ``place`` 1;
+    the others only count where it has no value.
     """
-    cells = fields(messages, feed, file_no, line_no, value)
-    rename = F.struct((-F.col("file_no")).alias("k"), F.col("file_no"), F.col("old_name"), F.col("field_name"))
+    versions = fingerprints(profile)
+    named = profile.select("feed", "file_no", "name").join(versions.select("feed", "file_no", "version"), ["feed", "file_no"])
+    per_version = named.groupBy("feed", "version", "name").agg(F.min("file_no").alias("since"))
+    rename = F.struct("file_no", "old_name", "field_name")
     chains = steps.where("change_kind = 'renamed'").groupBy("feed").agg(F.array_sort(F.collect_list(rename)).alias("chain"))
-    names = cells.select("feed", "file_no", "name").distinct().join(chains, "feed", "left")
-    origin = F.aggregate(
-        F.filter(F.coalesce("chain", F.array().cast("array<struct<k:int,file_no:int,old_name:string,field_name:string>>")), lambda r: r["file_no"] <= F.col("file_no")),
-        F.col("name"), lambda acc, r: F.when(r["field_name"] == acc, r["old_name"]).otherwise(acc))
-    target = F.lit(None).cast("string")
-    for column, others in ALIASES.items():
-        hit = (F.col("origin") == column) | _bare(F.col("origin")).isin(_plain(column), *others) | _bare(F.col("name")).isin(_plain(column), *others)
-        target = F.when(hit, column).otherwise(target)
-    routes = names.withColumn("origin", origin).withColumn("target", target).where("target is not null").select("feed", "file_no", "name", "target")
-    routed = cells.join(routes, ["feed", "file_no", "name"], "left")
-    return routed.groupBy("feed", "file_no", "line_no").agg(*[
-        F.max(F.when(F.col("target") == c, _cast(F.col("text"), kind))).alias(c) for c, kind in TARGET.items()])
+    chained = per_version.join(chains, "feed", "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<struct<file_no:int,old_name:string,field_name:string>>")))
+    back = F.reverse(F.filter("chain", lambda r: r["file_no"] <= F.col("since")))
+    ahead = F.filter("chain", lambda r: r["file_no"] > F.col("since"))
+    one = F.array("name")
+    former = F.aggregate(back, one, lambda acc, r: F.when(r["field_name"] == F.element_at(acc, -1), F.concat(acc, F.array(r["old_name"]))).otherwise(acc))
+    later = F.aggregate(ahead, one, lambda acc, r: F.when(r["old_name"] == F.element_at(acc, -1), F.concat(acc, F.array(r["field_name"]))).otherwise(acc))
+    target = F.coalesce(*[F.when(F.col("called") == c, c) for c in ALIASES], *[F.when(_bare(F.col("called")).isin(_plain(c), *others), c) for c, others in ALIASES.items()])
+    # the own name counts before former names, those before later ones
+    known = chained.select("feed", "version", "name", F.posexplode(F.concat(former, later)).alias("no", "called")).withColumn("target", target).where("target is not null")
+    first = known.groupBy("feed", "version", "name").agg(F.min_by("target", "no").alias("target"), F.min("no").alias("no"), F.min_by(F.col("called") != F.col("target"), "no").alias("alias"))
+    place = F.row_number().over(Window.partitionBy("feed", "version", "target").orderBy("alias", "no", "name"))
+    return named.join(first.withColumn("place", place), ["feed", "version", "name"]).select("feed", "file_no", "name", "target", "place")
+
+
+def conflicts(routed: DataFrame) -> DataFrame:
+    """(feed, file_no, target, kept, others): files in which several fields go to one target column."""
+    return routed.groupBy("feed", "file_no", "target").agg(F.min_by("name", "place").alias("kept"), F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.col("name")))).alias("others")).where(F.size("others") > 0)
+
+
+def unified(cells: DataFrame, routed: DataFrame, defaults: dict[str, object] = DEFAULTS) -> DataFrame:
+    """(feed, file_no, line_no, target columns): one table for all records of all files.
+
+    ``cells`` are the :func:`fields`, ``routed`` the :func:`routes`. Numbers with a
+    fraction are cut to integers, yes/no and booleans become 1/0, time texts
+    become unix seconds; what can't be cast is NULL; what isn't there gets its default.
+    """
+    placed = cells.join(routed, ["feed", "file_no", "name"], "left")
+    columns = []
+    for c, kind in TARGET.items():
+        mine = F.col("target") == c
+        value = F.min_by(F.when(mine, _cast(F.col("text"), kind)), F.when(mine, F.col("place")))
+        default = defaults.get(c)
+        columns.append((value if default is None else F.when(F.count_if(mine) == 0, F.lit(default)).otherwise(value)).alias(c))
+    return placed.groupBy("feed", "file_no", "line_no").agg(*columns)
 
 
 def _plain(name: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockline.operators import drift, panes, regular_grid, rolling, snapshots, spikes
-from dockline.session import table
+from dockline.session import cut_lineage, table
 
 STEP = 300
 SNAPSHOT_FIELDS = ["station_code", "num_bikes_available", "num_docks_available", "is_installed", "is_renting"]
@@ -124,14 +124,25 @@ def p7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return drift.fingerprints(drift.profiles(drift.fields(table(spark, d, "raw_messages"), *_RAW))).select(F.col("feed").alias("feed_id"), "file_no", "fingerprint", "version")
 
 
-def p7_table(spark: SparkSession, d: str) -> DataFrame:
+def _routed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     raw = table(spark, d, "raw_messages")
-    return drift.unified(raw, *_RAW, drift.migrations(raw, *_RAW)).withColumnRenamed("feed", "feed_id")
+    # read by the profiles and by the table: parsed once
+    cells = cut_lineage(drift.fields(raw, *_RAW))
+    return cells, drift.routes(drift.profiles(cells), drift.migrations(raw, *_RAW, cells))
+
+
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(*_routed(spark, d)).withColumnRenamed("feed", "feed_id")
+
+
+def p7_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of one file that go to the same column."""
+    return drift.conflicts(_routed(spark, d)[1]).withColumnRenamed("feed", "feed_id")
 
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_grid, p1_counter, p2_found, p2_steps, p2_daily, p3_found, p3_windows, p3_sliding, p3_emissions, p4_found, p4_fields,
-    p5_found, p5_reasons, p7_found, p7_changes, p7_fingerprints, p7_table)}
+    p5_found, p5_reasons, p7_found, p7_changes, p7_fingerprints, p7_table, p7_conflicts)}
 
 # --- the same in SQL ----------------------------------------------------------
 
@@ -165,7 +176,47 @@ a AS (SELECT s.*, o.before FROM s JOIN o USING (snapshot_no) WHERE before IS NOT
 """
 _DIFFERS = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in SNAPSHOT_FIELDS)
 _BOTH = "a JOIN b ON b.into_no = a.snapshot_no AND b.station_id = a.station_id"
+_SPIKES = """WITH r AS (SELECT msg_id, station_id AS s, last_reported AS t, num_bikes_available AS a, num_docks_available AS b FROM station_status WHERE station_id IS NOT NULL AND last_reported IS NOT NULL),
+z AS (SELECT s, median(a + b) AS size FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY s),
+long AS (SELECT msg_id, s, t, 'a' AS c, a AS v FROM r UNION ALL SELECT msg_id, s, t, 'b', b FROM r),
+u AS (SELECT s, c, t, min(v) AS lo, max(v) AS hi, arg_max(v, msg_id) FILTER (v IS NOT NULL) AS rep FROM long GROUP BY s, c, t),
+h AS (SELECT u.*, z.size, median(rep) OVER w AS med, list(rep) OVER w AS near FROM u LEFT JOIN z USING (s) WINDOW w AS (PARTITION BY s, c ORDER BY t ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+e AS (SELECT *, hi IS NOT NULL AND size IS NOT NULL AND greatest(abs(hi - med), abs(lo - med)) > greatest(0.3::DOUBLE * size, 1.4826::DOUBLE * list_median(list_transform(list_filter(near, lambda x: x IS NOT NULL), lambda x: abs(x - med)))) AS dev FROM h),
+k AS (SELECT *, sum(CAST(dev AS INTEGER)) OVER (PARTITION BY s, c ORDER BY t) AS seen FROM e),
+l AS (SELECT *, CASE WHEN hi IS NOT NULL AND size IS NOT NULL AND NOT dev THEN {'v': rep, 'k': seen} END AS calm FROM k),
+n AS (SELECT *, last_value(calm IGNORE NULLS) OVER (PARTITION BY s, c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(calm IGNORE NULLS) OVER (PARTITION BY s, c ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM l),
+far AS (SELECT s, c, t, size, p.v AS p, q.v AS q FROM n WHERE dev AND q.k - p.k <= 3 AND abs(p.v - q.v) <= 0.4::DOUBLE * size AND greatest(abs(hi - p.v), abs(lo - p.v)) > 0.4::DOUBLE * size AND greatest(abs(hi - q.v), abs(lo - q.v)) > 0.4::DOUBLE * size),
+i AS (SELECT *, CASE WHEN a = lag(a) OVER w AND b = lag(b) OVER w THEN 0 ELSE 1 END AS br FROM r WINDOW w AS (PARTITION BY s ORDER BY t, msg_id)),
+g AS (SELECT *, sum(br) OVER (PARTITION BY s ORDER BY t, msg_id) AS isl FROM i),
+reasons AS (SELECT msg_id, 'bounds' AS reason FROM r LEFT JOIN z USING (s) WHERE a < 0 OR b < 0 OR a > 1.3::DOUBLE * size OR b > 1.3::DOUBLE * size
+UNION SELECT long.msg_id, 'spike' FROM long JOIN far USING (s, c, t) WHERE least(abs(v - p), abs(v - q)) > 0.4::DOUBLE * size
+UNION SELECT msg_id, 'stuck' FROM (SELECT *, count(DISTINCT t) OVER (PARTITION BY s, isl) AS times FROM g WHERE a IS NOT NULL AND b IS NOT NULL) WHERE times >= 60)
+"""
+_FIELDS = """WITH m AS (SELECT feed_id, file_no, decode(msg_value) AS s FROM raw_messages),
+o AS (SELECT feed_id, file_no, CASE WHEN json_valid(s) AND json_type(s) = 'OBJECT' THEN s::JSON END AS j FROM m),
+k AS (SELECT feed_id, file_no, j, unnest(json_keys(j)) AS name FROM o WHERE j IS NOT NULL),
+f AS (SELECT feed_id, file_no, name, CASE json_type(json_extract(j, '$."' || name || '"')) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' END AS kind FROM k),
+c AS (SELECT feed_id, file_no, name, kind, count(*) AS n FROM f WHERE kind IS NOT NULL GROUP BY ALL),
+p AS (SELECT feed_id, file_no, name, kind FROM c QUALIFY row_number() OVER (PARTITION BY feed_id, file_no, name ORDER BY n DESC, kind) = 1)"""
+_DRIFT = _FIELDS + """, files AS (SELECT feed_id, file_no, lag(file_no) OVER (PARTITION BY feed_id ORDER BY file_no) AS prev_no FROM (SELECT DISTINCT feed_id, file_no FROM raw_messages WHERE feed_id IS NOT NULL AND file_no IS NOT NULL)),
+a AS (SELECT p.* FROM p JOIN files USING (feed_id, file_no) WHERE prev_no IS NOT NULL), b AS (SELECT p.feed_id, files.file_no, name, kind FROM p JOIN files ON files.feed_id = p.feed_id AND files.prev_no = p.file_no),
+x AS (SELECT feed_id, file_no, name, a.kind AS new_kind, b.kind AS old_kind FROM a FULL JOIN b USING (feed_id, file_no, name)),
+y AS (SELECT *, count(*) FILTER (new_kind IS NULL) OVER s AS gone, count(*) FILTER (old_kind IS NULL) OVER s AS come FROM x WINDOW s AS (PARTITION BY feed_id, file_no)),
+steps AS (SELECT feed_id, file_no, 'retyped' AS change_kind, name AS field_name, name AS old_name, old_kind, new_kind FROM y WHERE new_kind <> old_kind
+UNION ALL SELECT n.feed_id, n.file_no, 'renamed', n.name, o.name, o.old_kind, n.new_kind FROM y n JOIN y o USING (feed_id, file_no) WHERE n.old_kind IS NULL AND o.new_kind IS NULL AND n.gone = 1 AND n.come = 1
+UNION ALL SELECT feed_id, file_no, 'added', name, NULL, NULL, new_kind FROM y WHERE old_kind IS NULL AND NOT (gone = 1 AND come = 1)
+UNION ALL SELECT feed_id, file_no, 'removed', name, name, old_kind, NULL FROM y WHERE new_kind IS NULL AND NOT (gone = 1 AND come = 1))
+"""
+
 SQL = {
+    "p5_found": _SPIKES + "SELECT DISTINCT msg_id FROM reasons",
+    "p5_reasons": _SPIKES + "SELECT msg_id, reason FROM reasons",
+    # a field gone and a field come are the only ones of their step in these tables, so no values need be compared
+    "p7_found": _DRIFT + "SELECT feed_id, file_no, change_kind, field_name FROM steps",
+    "p7_changes": _DRIFT + "SELECT * FROM steps",
+    "p7_fingerprints": _FIELDS + """, l AS (SELECT feed_id, file_no, substr(sha256(string_agg(name || ':' || kind, ',' ORDER BY name || ':' || kind)), 1, 16) AS fingerprint FROM p GROUP BY 1, 2),
+w AS (SELECT *, coalesce(CAST(fingerprint <> lag(fingerprint) OVER (PARTITION BY feed_id ORDER BY file_no) AS INTEGER), 1) AS new FROM l)
+SELECT feed_id, file_no, fingerprint, CAST(sum(new) OVER (PARTITION BY feed_id ORDER BY file_no) AS INTEGER) AS version FROM w""",
     "p1_found": f"SELECT station_id, bin_epoch FROM ({_GRID}) WHERE is_missing",
     "p1_grid": _GRID,
     "p1_counter": _COUNTER,

@@ -233,10 +233,38 @@ def test_versions_count_changes(spark):
     assert [r.version for r in prints] == [1, 1, 2, 3] and prints[0].fingerprint == prints[3].fingerprint != prints[2].fingerprint
 
 
+RAW = ("feed_id", "file_no", "line_no", "msg_value")
+
+
+def _table(spark, files, **more):
+    m = _messages(spark, files)
+    cells = drift.fields(m, *RAW)
+    routed = drift.routes(drift.profiles(cells), drift.migrations(m, *RAW))
+    return drift.unified(cells, routed, **more).orderBy("file_no", "line_no").collect(), routed
+
+
 def test_unified_table_casts_and_follows_names(spark):
     a = ['{"station_id": 5, "is_renting": 1, "ingested_at": 1772582460, "num_bikes_available": 7}']
     b = ['{"weird": 6, "is_renting": "yes", "ingested_at": "2026-03-04T00:01:00Z", "num_bikes_available": 7.5}']
-    m = _messages(spark, [a, b])
-    steps = drift.migrations(m, "feed_id", "file_no", "line_no", "msg_value")
-    rows = drift.unified(m, "feed_id", "file_no", "line_no", "msg_value", steps).orderBy("file_no").collect()
+    rows, _ = _table(spark, [a, b])
     assert [(r.station_id, r.is_renting, r.ingested_at, r.num_bikes_available, r.station_code) for r in rows] == [(5, 1, 1772582460, 7, None), (6, 1, 1772582460, 7, None)]
+
+
+def test_names_are_followed_forward_and_defaults_fill(spark):
+    a = [f'{{"bike_count": {i}, "u": "x{i}"}}' for i in range(20)]
+    b = [f'{{"num_bikes_available": {i}, "u": "x{i}"}}' for i in range(20)]
+    rows, _ = _table(spark, [a, b], defaults={"is_installed": 1})
+    assert [r.num_bikes_available for r in rows] == [*range(20), *range(20)] and {r.is_installed for r in rows} == {1} and {r.is_renting for r in rows} == {None}
+
+
+def test_two_fields_for_one_column_are_reported(spark):
+    rows, routed = _table(spark, [['{"num_bikes_available": 3, "nbikes": 9}', '{"nbikes": 8}']])
+    assert [r.num_bikes_available for r in rows] == [3, 8]
+    assert [(r.target, r.kept, r.others) for r in drift.conflicts(routed).collect()] == [("num_bikes_available", "num_bikes_available", ["nbikes"])]
+
+
+def test_only_changed_fingerprints_are_compared(spark):
+    a, b = ['{"x": 1}'], ['{"x": "1"}']
+    m = _messages(spark, [a, a, b, [], b])
+    changed = drift.changed_files(drift.files(m.unionByName(spark.createDataFrame([(1, 4, 0, None)], m.schema)), *RAW[:2]), drift.fingerprints(drift.profiles(drift.fields(m, *RAW))))
+    assert sorted(r.file_no for r in changed.collect()) == [3, 4, 5]
