@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from dockline.schemas import STATION_MESSAGE
 
 
-def parse(messages: DataFrame, value: str = "value", schema=STATION_MESSAGE) -> DataFrame:
-    """JSON bytes to typed columns plus ``event_time``. Malformed text and non-objects give NULLs; a field of a wrong type is NULL alone."""
-    return messages.select(F.from_json(F.col(value).cast("string"), schema).alias("s")).select("s.*").withColumn("event_time", F.timestamp_seconds("last_reported"))
+def parse(messages: DataFrame, value: str = "value", schema=STATION_MESSAGE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON bytes to typed columns plus ``event_time``, beside the columns to ``keep``. Malformed text and non-objects give NULLs; a field of a wrong type is NULL alone."""
+    return messages.select(*keep, F.from_json(F.col(value).cast("string"), schema).alias("s")).select(*keep, "s.*").withColumn("event_time", F.timestamp_seconds("last_reported"))
 
 
 def validate(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,25 @@ def forecast(state: DataFrame, station_id: int) -> DataFrame:
     return Persistence(now="bikes_now").predict(rows)
 
 
+class Served:
+    """Latest rows and models held for many lookups: read once, again after :meth:`refresh`."""
+
+    def __init__(self, read_latest: Callable[[], DataFrame], load_models: Callable[[], dict[str, object]]):
+        self.read_latest, self.load_models = read_latest, load_models
+        self._latest: DataFrame | None = None
+        self._models: dict[str, object] = {}
+
+    def refresh(self) -> None:
+        if self._latest is not None:
+            self._latest.unpersist()
+        self._latest, self._models = self.read_latest().persist(), self.load_models()
+
+    def forecast(self, station_id: int) -> DataFrame:
+        if self._latest is None:
+            self.refresh()
+        return model_forecast(self._latest, station_id, self._models)
+
+
 def model_forecast(latest: DataFrame, station_id: int, models: dict[str, object]) -> DataFrame:
     """(station_id, as_of, bikes_ref, one column per horizon, method) from the latest feature row; no row if it is unknown."""
     rows = latest.where(F.col("station_id") == F.lit(station_id))

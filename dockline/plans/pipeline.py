@@ -21,6 +21,11 @@ def dataset(grid_rows: DataFrame, spec: GridSpec = GridSpec()) -> DataFrame:
     return features.dataset(grid_rows, spec)
 
 
+def write_dataset(rows: DataFrame, path: str) -> None:
+    """The dataset in order of time, then station: sorted by range, so that no task sorts it all."""
+    rows.orderBy("ts", "station_id").write.mode("overwrite").parquet(path)
+
+
 def persistence_scores(rows: DataFrame, spec: GridSpec = GridSpec()) -> DataFrame:
     """Errors of the current value as forecast, per horizon, on the test part."""
     long_rows = evaluate.by_horizon(rows.withColumn("epoch", F.unix_timestamp("ts")), spec)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockline.config import GridSpec
 from dockline.functions import bin_start, epoch_ntz
 from dockline.operators import clean, evaluate, features, forecast, hotstate, mapview, profile, sequences, serving, windows
-from dockline.session import table
+from dockline.session import cut_lineage, table
 
 SPEC = GridSpec()
 QUERIES: dict = {}
@@ -41,10 +43,7 @@ def _json_field(name: str, kind: str) -> str:
 o AS (SELECT feed_id, file_no, line_no, CASE WHEN json_valid(s) AND json_type(s) = 'OBJECT' THEN s::JSON END AS j FROM t)
 SELECT feed_id, file_no, line_no, {', '.join(_json_field(n, k) for n, k in _FIELDS.items())} FROM o""")
 def parse_messages(spark: SparkSession, d: str) -> DataFrame:
-    from dockline.schemas import STATION_MESSAGE
-
-    raw = table(spark, d, "raw_messages")
-    return raw.select("feed_id", "file_no", "line_no", F.from_json(F.col("msg_value").cast("string"), STATION_MESSAGE).alias("s")).select("feed_id", "file_no", "line_no", "s.*").withColumnRenamed("stationCode", "station_code")
+    return clean.parse(table(spark, d, "raw_messages"), "msg_value", keep=("feed_id", "file_no", "line_no")).drop("event_time").withColumnRenamed("stationCode", "station_code")
 
 
 @query("SELECT feed_id, file_no, line_no, msg_key FROM raw_messages ORDER BY feed_id, file_no, line_no LIMIT 5")
@@ -115,7 +114,8 @@ def hot_state(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {_HOT_COLUMNS} FROM ({_HOT})")
 def upsert_hot_state(spark: SparkSession, d: str) -> DataFrame:
     """Two batches of windows merged one after the other, the later first: the state never goes back."""
-    w = _windows(spark, d).select(*_HOT_COLUMNS.split(", "))
+    # both batches are read from the windows: made once
+    w = cut_lineage(_windows(spark, d).select(*_HOT_COLUMNS.split(", ")))
     odd = F.minute("window_start") % 10 == 0
     return hotstate.merge(hotstate.merge(w.limit(0), w.where(odd)), w.where(~odd))
 
@@ -392,6 +392,40 @@ def predict_head(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("station_id", "ts", "bikes", F.round("pred_t15", 1).alias("pred_t15"), F.round("pred_t30", 1).alias("pred_t30")).orderBy("station_id").limit(8)
 
 
+#: Small trees, so that four horizons are fitted in seconds; the reported shape, not the size, is what these queries are for.
+_TREES = {"trees": 8, "depth": 4, "rate": 0.3, "seed": 7}
+
+
+def _models(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
+    """A fitted model per horizon, each trained up to its cut less the embargo, and the split rows."""
+    rows = cut_lineage(evaluate.split(evaluate.by_horizon(_stored(spark, d), SPEC), SPEC))
+    train = lambda t: rows.where((F.col("horizon") == t) & (F.col("part") == "train")).withColumnRenamed("y", t)
+    return {t: forecast.Trees(t, **_TREES).fit(train(t)) for t in SPEC.target_columns if not train(t).isEmpty()}, rows
+
+
+@query()
+def model_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees against the current value on the test part, per horizon, with gains in per cent. Fitted models have no SQL."""
+    models, rows = _models(spark, d)
+    test = rows.where("part = 'test'")
+    scored = [m.predict(test.where(F.col("horizon") == t)).select("horizon", "y", F.col(f"pred_{t}").alias("pred")) for t, m in models.items()]
+    if not scored:
+        scored = [test.select("horizon", "y", F.col("bikes").alias("pred"))]
+    out = evaluate.lift(evaluate.errors(test, "y", "bikes", "horizon"), evaluate.errors(functools.reduce(DataFrame.unionByName, scored), "y", "pred", "horizon"), "horizon")
+    return out.withColumns({c: F.round(c, 4) for c in out.columns if c != "horizon"})
+
+
+@query()
+def predict_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted models on the latest row of every station, rounded to one decimal."""
+    models, _ = _models(spark, d)
+    rows = forecast.latest_rows(_stored(spark, d))
+    for m in models.values():
+        rows = m.predict(rows)
+    preds = [(F.round(f"pred_{t}", 1) if t in models else F.lit(None).cast("double")).alias(t.replace("target_", "pred_t")) for t in SPEC.target_columns]
+    return rows.select("station_id", F.col("ts").alias("as_of"), F.round("bikes", 1).alias("bikes_ref"), *preds)
+
+
 # the dataset holds a few stored rows twice with other rolling values; one row per step is kept for sequences
 _STEPS = f"SELECT * FROM ({_STORED}) QUALIFY row_number() OVER (PARTITION BY station_id, epoch ORDER BY bikes_roll_mean30, bikes_roll_std30) = 1"
 _RUNS = f"""SELECT *, row_number() OVER (PARTITION BY station_id, island ORDER BY epoch) AS run_len FROM (SELECT *, sum(b) OVER (PARTITION BY station_id ORDER BY epoch) AS island FROM

@@ -181,3 +181,31 @@ def test_measures_are_rebuilt_by_date(spark, tmp_path):
 def test_peek(spark):
     df = spark.createDataFrame([(1, 5, b"k", b"v"), (0, 9, b"a", b"b")], "partition int, offset long, key binary, value binary")
     assert [tuple(r) for r in sources.peek(df, 1).collect()] == [(0, 9, "a", "b")]
+
+
+def test_served_rows_are_read_once(spark):
+    class Fixed:
+        method, target = "trees", "target_15"
+
+        def predict(self, rows):
+            return rows.withColumn("pred_target_15", F.lit(4.25))
+
+    latest, reads = spark.createDataFrame([(42, T(2026, 7, 5, 10, 35), 4.0)], "station_id long, ts timestamp, bikes double"), []
+    served = serving.Served(lambda: reads.append(1) or latest, lambda: {"pred_t15": Fixed()})
+    assert served.forecast(42).first().pred_t15 == 4.3 and served.forecast(7).count() == 0 and len(reads) == 1
+    served.refresh()
+    assert len(reads) == 2
+
+
+def test_dataset_is_written_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(2, 3), (1, 3), (5, 1), (1, 2)], "station_id int, ts int")
+    pipeline.write_dataset(rows, str(tmp_path / "d"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "d")).coalesce(1).select("ts", "station_id").collect()] == [(1, 5), (2, 1), (3, 1), (3, 2)]
+
+
+def test_models_are_scored_and_applied(spark, tiny):
+    from dockline.plans.station import QUERIES
+
+    scores, latest = QUERIES["model_metrics"](spark, tiny), QUERIES["predict_latest"](spark, tiny)
+    assert scores.columns == ["horizon", "mae_base", "rmse_base", "mae_model", "rmse_model", "gain_mae", "gain_rmse"] and scores.count() == 4
+    assert latest.columns == ["station_id", "as_of", "bikes_ref", "pred_t15", "pred_t30", "pred_t60", "pred_t120"] and latest.count() == spark.read.parquet(f"{tiny}/station_dataset.parquet").select("station_id").distinct().count()
