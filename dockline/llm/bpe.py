@@ -20,7 +20,8 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = os.environ.get("DOCKLINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -112,11 +113,22 @@ _encoders: dict[str, RankEncoder] = {}
 
 
 def encoder(path: str = VOCABULARY) -> RankEncoder:
+    """The encoder of a vocabulary file, from the path itself or, where that isn't there, from the files shipped to the worker."""
     if path not in _encoders:
-        _encoders[path] = RankEncoder(path)
+        here = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        _encoders[path] = RankEncoder(here)
     return _encoders[path]
 
 
+def ship(path: str) -> None:
+    """Send the driver's vocabulary file to the executors, once per session."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and os.path.exists(path) and not spark.sparkContext.master.startswith("local["):
+        name = os.path.basename(path)
+        if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+            spark.sparkContext.addFile(path)
+
+
 def token_ids(text: Column, path: str = VOCABULARY) -> Column:
     """The ids of ``text`` as an array of integers."""
 
@@ -125,6 +137,7 @@ def token_ids(text: Column, path: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([e.encode(t) for t in texts], index=texts.index, dtype=object)
 
+    ship(path)
     return F.pandas_udf(encode, "array<int>")(text)
 
 
@@ -136,6 +149,7 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([len(e.encode(t)) for t in texts], index=texts.index, dtype="int64")
 
+    ship(path)
     return F.pandas_udf(count, "bigint")(text)
 
 
