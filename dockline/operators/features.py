@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dockline.config import GridSpec
 from dockline.functions import bin_start, epoch_ntz, monday_zero, ratio
+from dockline.operators.regular_grid import explode_cells
 
 
 def latest_per_bin(measures: DataFrame, step: int) -> DataFrame:
@@ -28,8 +29,11 @@ def latest_per_bin(measures: DataFrame, step: int) -> DataFrame:
 def dense(grid: DataFrame, spec: GridSpec) -> DataFrame:
     """Every step from a station's first to its last, NULL where nothing was observed; repeated rows count once."""
     once = grid.where("station_id is not null and bin_epoch is not null").groupBy("station_id", "bin_epoch").agg(F.max(F.struct("bikes", "docks")).alias("r"))
-    spine = once.groupBy("station_id").agg(F.min("bin_epoch").alias("a"), F.max("bin_epoch").alias("z")).select("station_id", F.explode(F.sequence("a", "z", F.lit(spec.step).cast("long"))).alias("bin_epoch"))
-    return spine.join(once, ["station_id", "bin_epoch"], "left").select("station_id", "bin_epoch", F.col("r.bikes").alias("bikes_raw"), F.col("r.docks").alias("docks_raw"))
+    # each row opens into itself and the steps up to the next one: no spine to make and join
+    following = F.coalesce(F.lead("bin_epoch").over(_timeline()) - spec.step, F.col("bin_epoch"))
+    opened = explode_cells(once.withColumn("own", F.col("bin_epoch")).withColumn("upto", F.greatest(following, F.col("bin_epoch"))), "own", "upto", spec.step, "bin_epoch")
+    seen = F.col("bin_epoch") == F.col("own")
+    return opened.select("station_id", "bin_epoch", F.when(seen, F.col("r.bikes")).alias("bikes_raw"), F.when(seen, F.col("r.docks")).alias("docks_raw"))
 
 
 def _timeline():

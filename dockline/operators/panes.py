@@ -13,7 +13,7 @@ don't see each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,13 +47,15 @@ def lateness(rows: DataFrame, cutoff: int, pane: int = 3600) -> DataFrame:
     return rows.join(watermarks(rows, pane), ["entity", "arrival"]).withColumn("lateness", kind).drop("seen")
 
 
+def partial_sums(values: list[str]) -> list[Column]:
+    """Rows, and sum and count of each value: what panes are merged by."""
+    return [F.count("*").alias("n"), *[f(v).alias(f"{k}_{v}") for v in values for k, f in (("sum", F.sum), ("n", F.count))]]
+
+
 def event_panes(rows: DataFrame, width: int, values: list[str], extra: list[str] = ()) -> DataFrame:
     """(entity, pane_start, n, sum and count of each value): mergeable partial sums."""
     start = F.col("event") - F.pmod(F.col("event"), F.lit(width))
-    aggs = [F.count("*").alias("n")]
-    for v in values:
-        aggs += [F.sum(v).alias(f"sum_{v}"), F.count(v).alias(f"n_{v}")]
-    return rows.withColumn("pane_start", start).groupBy("entity", "pane_start", *extra).agg(*aggs)
+    return rows.withColumn("pane_start", start).groupBy("entity", "pane_start", *extra).agg(*partial_sums(values))
 
 
 def compose_windows(panes: DataFrame, width: int, per_window: int, values: list[str], extra: list[str] = ()) -> DataFrame:

@@ -26,7 +26,8 @@ def _cells(first, last, step: int):
     return F.sequence(first, last, F.lit(step * _BLOCK).cast("long"))
 
 
-def _explode_cells(df: DataFrame, first: str, last: str, step: int, out: str) -> DataFrame:
+def explode_cells(df: DataFrame, first: str, last: str, step: int, out: str) -> DataFrame:
+    """A row per cell ``out`` from ``first`` to ``last``, both included, however far apart."""
     return (
         df.withColumn("__block", F.explode(_cells(F.col(first), F.col(last), step)))
         .withColumn(out, F.explode(F.sequence(F.col("__block"), F.least(F.col(last), F.col("__block") + step * (_BLOCK - 1)), F.lit(step).cast("long"))))
@@ -59,13 +60,13 @@ def uncovered_intervals(cells: DataFrame, step: int) -> DataFrame:
 def missing_cells(df: DataFrame, entity: str, time: str, value: str, step: int) -> DataFrame:
     """(entity, cell) of every uncovered cell between an entity's first and last covered cell."""
     gaps = uncovered_intervals(covered_cells(df, entity, time, value, step), step)
-    return _explode_cells(gaps, "first", "last", step, "cell").select("entity", "cell")
+    return explode_cells(gaps, "first", "last", step, "cell").select("entity", "cell")
 
 
 def regular_grid(df: DataFrame, entity: str, time: str, value: str, step: int) -> DataFrame:
     """(entity, cell, value, is_missing): all cells from the first to the last covered one."""
     cells = covered_cells(df, entity, time, value, step)
-    gaps = _explode_cells(uncovered_intervals(cells, step), "first", "last", step, "cell")
+    gaps = explode_cells(uncovered_intervals(cells, step), "first", "last", step, "cell")
     kind = cells.schema["value"].dataType
     return cells.select("entity", "cell", "value", F.lit(False).alias("is_missing")).unionByName(
         gaps.select("entity", "cell", F.lit(None).cast(kind).alias("value"), F.lit(True).alias("is_missing")))
@@ -98,7 +99,7 @@ def counter_grid(df: DataFrame, entity: str, time: str, value: str, step: int, m
         .withColumn("c0", F.col("t0") - F.pmod(F.col("t0"), F.lit(step)))
         .withColumn("c1", F.col("t1") - 1 - F.pmod(F.col("t1") - 1, F.lit(step)))
     )
-    spread = _explode_cells(steps, "c0", "c1", step, "cell").withColumn(
+    spread = explode_cells(steps, "c0", "c1", step, "cell").withColumn(
         "overlap", F.least(F.col("t1"), F.col("cell") + step) - F.greatest(F.col("t0"), F.col("cell")))
     placed = ~F.col("open")
     return (

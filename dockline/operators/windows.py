@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dockline.operators.panes import partial_sums
+from dockline.schemas import WINDOWED
+
 
 def availability(rows: DataFrame, duration: str = "5 minutes") -> DataFrame:
     """Average bikes and docks (one decimal, half up) and rows per station, code and window; NULL counts are left out of averages only."""
-    return (
-        rows.groupBy(F.window("event_time", duration), "station_id", "station_code")
-        .agg(
-            F.round(F.avg("num_bikes_available"), 1).alias("avg_bikes_available"),
-            F.round(F.avg("num_docks_available"), 1).alias("avg_docks_available"),
-            F.count("*").alias("n_observations"))
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "station_id", "station_code", "avg_bikes_available", "avg_docks_available", "n_observations")
-    )
+    sums = partial_sums(["num_bikes_available", "num_docks_available"])
+    panes = rows.groupBy(F.window("event_time", duration).alias("w"), "station_id", "station_code").agg(*sums)
+    means = {f"avg_{v}": F.round(F.try_divide(f"sum_num_{v}", f"n_num_{v}"), 1) for v in ("bikes_available", "docks_available")}
+    return panes.withColumns(means).select("w.start", "w.end", "station_id", "station_code", *means, "n").toDF(*WINDOWED.fieldNames())
