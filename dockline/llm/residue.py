@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -413,19 +414,25 @@ class PageScanner:
             if many[o] <= max(3, long[o] // 100) and not p.flags[i] & _MARK and not p.flags[i - 1] & _MARK:
                 add(i, i, 0, 0, "blank", False)
 
-    def aligned(self, texts: list[str | None], lefts: _Wanted, contexts: _Wanted, templates: _Wanted) -> list[tuple[int, bool, int, int]]:
-        """(page, whether a sentence, hash, value): values in the contexts looked for, and the sentences looked for with how many others their page has."""
-        out: list[tuple[int, bool, int, int]] = []
-        hits: list[tuple[int, int]] = []
-        others, rest = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    def aligned(self, texts: list[str | None], lefts: _Wanted, contexts: _Wanted, templates: _Wanted, turn: int = 0, turns: int = 1) -> list[tuple[int, bool, int, int, int, int]]:
+        """(page, whether a sentence, hash, value, times, others): values in the contexts looked for, and the sentences looked for.
+
+        A sentence's value is the number of content sentences of its page; ``times`` of
+        them are this one, and ``others`` of those due in this turn aren't looked for.
+        """
+        out: list[tuple[int, bool, int, int, int, int]] = []
+        hits: Counter[tuple[int, int]] = Counter()
+        says, others, rest = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
         shut = _end_side()
         for p in self.pieces(texts):
             if not len(p.at):
                 continue
             _, full, neither = p.kinds()
-            hit = full & templates.has(p.digest)
-            hits += zip(p.owner[hit].tolist(), p.digest[hit].astype(np.int64).tolist())
-            np.add.at(others, p.owner[full & ~hit], 1)
+            due = full & _due(p.digest, turn, turns)
+            hit = due & templates.has(p.digest)
+            hits.update(zip(p.owner[hit].tolist(), p.digest[hit].astype(np.int64).tolist()))
+            np.add.at(says, p.owner[full], 1)
+            np.add.at(others, p.owner[due & ~hit], 1)
             np.add.at(rest, p.owner[neither], p.n[neither])
             left, right = p.sides()
             here = np.flatnonzero(lefts.has(left))
@@ -441,8 +448,11 @@ class PageScanner:
                 with np.errstate(over="ignore"):
                     c = _mix(left[here], r)
                 for j in np.flatnonzero(clean & contexts.has(c) & ~(p.first[here] & (stop == end))):
-                    out.append((int(p.owner[p.which[here[j]]]), False, int(c[j]), _letters(p.text(here[j], stop[j])) or 1))
-        return out + [(o, True, h, int(others[o] + (rest[o] >= _LISTING))) for o, h in hits]
+                    out.append((int(p.owner[p.which[here[j]]]), False, int(c[j]), _letters(p.text(here[j], stop[j])) or 1, 1, 0))
+        # a long listing is one more that isn't looked for
+        says[rest >= _LISTING] += 1
+        others[rest >= _LISTING] += 1
+        return out + [(o, True, h, int(says[o]), n, int(others[o])) for (o, h), n in hits.items()]
 
 
 _scanner: list[PageScanner] = []
@@ -477,12 +487,21 @@ def scan(documents: DataFrame, key: str, text: str, url: str | None = None) -> D
     return documents.select(F.col(key).alias("key"), F.xxhash64(address).alias("path"), F.col(text).alias("text")).where("text is not null").mapInPandas(run, schema)
 
 
+def _due(hashes: np.ndarray, turn: int, turns: int) -> np.ndarray:
+    """Which hashes belong to this turn, as in ``_share``."""
+    return (hashes >> np.uint64(40)) % np.uint64(turns) == np.uint64(turn)
+
+
+def _share(column: str, turn: int, turns: int) -> str:
+    return f"pmod(shiftright({column}, 40), {turns}) = {turn}"
+
+
 def _wanted(hashes: list[tuple[DataFrame, str]], turn: int, turns: int) -> list[bytes]:
     """The bits of each set of hashes that belong to this turn, packed; of one size whatever the number of hashes."""
     out = []
     for rows, column in hashes:
         at = f"pmod({column}, {_BITS})"
-        words = rows.where(f"pmod(shiftright({column}, 40), {turns}) = {turn}").groupBy(F.expr(f"cast({at} div 32 as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 32 as int)))").alias("b"))
+        words = rows.where(_share(column, turn, turns)).groupBy(F.expr(f"cast({at} div 32 as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 32 as int)))").alias("b"))
         bits = np.zeros(_BITS // 32, dtype=np.uint32)
         for r in words.toLocalIterator():
             bits[r.w] = r.b
@@ -491,19 +510,21 @@ def _wanted(hashes: list[tuple[DataFrame, str]], turn: int, turns: int) -> list[
 
 
 def alignments(documents: DataFrame, key: str, text: str, slots: DataFrame, templates: DataFrame) -> DataFrame:
-    """(key, is_sentence, h, v, digest): what all records have in the contexts of candidates, and where the sentences of doubtful pages stand.
+    """(key, is_sentence, h, v, times, others, digest): what all records have in the contexts of candidates, and where the sentences of doubtful pages stand.
 
     The hashes looked for go to the workers as bits of a fixed size. More than
-    ``_LOOKED`` of them are dealt out over several readings of the texts.
+    ``_LOOKED`` of them are dealt out over several readings of the texts. A reading
+    can't tell what another one finds on a page, so ``others`` is only those it is
+    sure of; all of them are found by counting ``times`` against ``v``.
     """
     around, sought = slots.where("context <> 0").select("side", "context").distinct(), templates.select("template").distinct()
     turns = -(-max(around.count(), sought.count(), 1) // _LOOKED)
-    schema = f"key {documents.schema[key].dataType.simpleString()}, is_sentence boolean, h bigint, v bigint, digest bigint"
+    schema = f"key {documents.schema[key].dataType.simpleString()}, is_sentence boolean, h bigint, v bigint, times bigint, others bigint, digest bigint"
     texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
 
     def reading(turn: int) -> DataFrame:
         # a context's left side is looked for in the turn of its context
-        now = around.where(f"pmod(shiftright(context, 40), {turns}) = {turn}")
+        now = around.where(_share("context", turn, turns))
         packed = [*_wanted([(now.select(F.col("side").alias("h")), "h")], 0, 1), *_wanted([(around, "context"), (sought, "template")], turn, turns)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -514,9 +535,9 @@ def alignments(documents: DataFrame, key: str, text: str, slots: DataFrame, temp
                 wanted.append(w)
             for b in batches:
                 keys, raw = b["key"].tolist(), b["text"].tolist()
-                rows = set(_worker().aligned(raw, *wanted))
+                rows = set(_worker().aligned(raw, *wanted, turn, turns))
                 digests = {o: _hash(raw[o]) for o in {r[0] for r in rows}}
-                yield pd.DataFrame([(keys[o], is_sentence, h, v, digests[o]) for o, is_sentence, h, v in rows], columns=["key", "is_sentence", "h", "v", "digest"])
+                yield pd.DataFrame([(keys[o], *row, digests[o]) for o, *row in rows], columns=["key", "is_sentence", "h", "v", "times", "others", "digest"])
 
         return texts.mapInPandas(run, schema)
 
@@ -567,28 +588,30 @@ def residual_slots(slots: DataFrame, filled: DataFrame) -> DataFrame:
     return aligned.select("key", F.lit("aligned").alias("how")).unionByName(alone.select("key", F.lit("form").alias("how"))).groupBy("key").agg(F.min("how").alias("how"))
 
 
-def page_templates(sentences: DataFrame, beside: DataFrame) -> DataFrame:
+def _foreign(texts: DataFrame, listed: DataFrame, known: bool = True) -> DataFrame:
+    """(digest, foreign): whether a text says more than its known sentences: the listed ones, or else those that aren't listed."""
+    found = texts.withColumn("salt", _salt("digest")).join(_salted(listed.withColumn("is_one", F.lit(True))), ["sentence", "salt"], "left")
+    counted = F.when(F.col("is_one").isNotNull() == F.lit(known), F.col("times")).otherwise(0)
+    return found.groupBy("digest").agg((F.sum(counted) < F.max("says")).alias("foreign"))
+
+
+def page_templates(inside: DataFrame, outside: DataFrame, beside: DataFrame) -> DataFrame:
     """(sentence) that the corpus shows practically only on pages of such sentences and cues.
 
-    ``sentences`` has (key, sentence, others, digest) of the sentences of doubtful
-    pages wherever they stand, ``others`` being the content sentences of the page
-    that stand on no doubtful page; ``beside`` (sentence, digest) where it stands
-    beside a cue. In each round a page is foreign if it has a sentence outside of
-    the templates; a sentence too often on foreign pages isn't one. Different texts count.
+    ``inside`` has (sentence, times, says, digest) of the texts that say only what
+    stands on doubtful pages: how often they say the sentence, and how many content
+    sentences they have; ``outside`` (sentence, digest) of other texts; ``beside``
+    (sentence, digest) where it stands beside a cue. In each round a page is foreign
+    if it has a sentence outside of the templates; a sentence too often on foreign
+    pages isn't one. Different texts count.
     """
     support = beside.distinct().groupBy("sentence").agg(F.count("*").alias("k"))
     # pages with other sentences stay foreign: their rows are only counted, once
-    outside = sentences.where("others > 0").select("sentence", "digest").distinct().groupBy("sentence").agg(F.count("*").alias("n0"))
-    known = cut_lineage(support.join(outside, "sentence", "left").na.fill(0, ["n0"]))
-    inside = cut_lineage(sentences.where("others = 0").select("sentence", "digest").distinct())
+    n0 = outside.distinct().groupBy("sentence").agg(F.count("*").alias("n0"))
+    known = cut_lineage(support.join(n0, "sentence", "left").na.fill(0, ["n0"]))
     templates = None
     for _ in range(3):
-        if templates is None:
-            marked = inside.withColumn("foreign", F.lit(False))
-        else:
-            found = inside.withColumn("salt", _salt("digest")).join(_salted(templates.withColumn("is_one", F.lit(True))), ["sentence", "salt"], "left")
-            foreign = found.groupBy("digest").agg(F.max(F.col("is_one").isNull()).alias("foreign"))
-            marked = inside.join(foreign, "digest")
+        marked = inside.withColumn("foreign", F.lit(False)) if templates is None else inside.join(_foreign(inside, templates), "digest")
         counts = marked.groupBy("sentence").agg(F.count("*").alias("n1"), F.count_if("foreign").alias("f1"))
         n = F.col("n0") + F.col("n1")
         templates = cut_lineage(
@@ -600,10 +623,17 @@ def residual_pages(pages: DataFrame, sentences: DataFrame, addressed: bool) -> D
     """(key, how) of pages in place of content: ``cues`` only, ``template`` sentences, or ``addresses``: one text under many."""
     bare = pages.where((F.size("kinds") > 0) & (F.col("content") == 0)).select("key", F.lit("cues").alias("how"))
     beside = pages.where("suspect and content > 0").select(F.explode("templates").alias("sentence"), "digest")
-    known = page_templates(sentences, beside).withColumn("known", F.lit(True))
+    # what one reading left open: sentences due in others, and strays whose hashes only share a bit
+    open_texts = cut_lineage(sentences.where("others = 0").select("sentence", "times", "says", "digest").distinct())
+    strays = open_texts.select("sentence").distinct().join(beside.select("sentence").distinct(), "sentence", "left_anti")
+    settled = cut_lineage(open_texts.join(_foreign(open_texts, strays, known=False), "digest"))
+    inside = settled.where("not foreign").drop("foreign")
+    outside = sentences.where("others > 0").select("sentence", "digest").unionByName(settled.where("foreign").select("sentence", "digest"))
+    known = page_templates(inside, outside, beside)
+    filled = _foreign(inside, known).where("not foreign").select("digest")
     whole = (
-        sentences.where("others = 0").withColumn("salt", _salt("key")).join(_salted(known), ["sentence", "salt"], "left")
-        .groupBy("key").agg(F.min(F.coalesce("known", F.lit(False))).alias("all")).where("all").select("key", F.lit("template").alias("how")))
+        sentences.where("others = 0").select("key", "digest").withColumn("salt", _salt("key")).join(_salted(filled), ["digest", "salt"])
+        .select("key", F.lit("template").alias("how")).distinct())
     short = pages.where((F.col("content") > 0) & (F.col("words") <= SHORT) & (F.lit(addressed) | F.col("suspect"))).select("key", "digest", "path")
     many = short.select("digest", "path").distinct().groupBy("digest").agg(F.count("*").alias("paths")).where(F.col("paths") >= ADDRESSES).select("digest")
     served = short.withColumn("salt", _salt("key")).join(_salted(many), ["digest", "salt"]).select("key", F.lit("addresses").alias("how"))
@@ -617,7 +647,7 @@ def judged(documents: DataFrame, key: str, text: str, url: str | None = None) ->
     doubtful = pages.where("suspect and content > 0").select(F.explode("templates").alias("template"))
     found = cut_lineage(alignments(documents, key, text, slots, doubtful))
     filled = found.where("not is_sentence").select("key", F.col("h").alias("context"), "v", "digest")
-    sentences = found.where("is_sentence").select("key", F.col("h").alias("sentence"), F.col("v").alias("others"), "digest")
+    sentences = found.where("is_sentence").select("key", F.col("h").alias("sentence"), "times", F.col("v").alias("says"), "others", "digest")
     return residual_slots(slots, filled).unionByName(residual_pages(pages, sentences, url is not None))
 
 

@@ -253,6 +253,21 @@ def test_more_hashes_than_one_reading_looks_for(spark, monkeypatch):
     assert _found(spark, rows) == want == {100, 101, 102}
 
 
+def test_page_templates_are_the_same_in_any_number_of_readings(spark, monkeypatch):
+    words = "amber birch cedar dove elm fern gull heron iris jay".split()
+    page = "The lamp keeper has put this leaf away for good.\nSome day the old barge may bring it home again.\nUntil then the harbour wishes you a calm evening."
+    rows = [(i, f"Page not found\n{page}\nRef {words[i // 10]} {words[i % 10]}") for i in range(60)] + [(70, page), (71, page), (72, page + "\n" + page)]
+    # beside one sentence of their own, or a long listing, the same sentences are no page of the template
+    rows += [(80, f"{page}\nThe heron stood by the weir all morning."), (81, page + "\n" + "\n".join(f"{w} bridge {i} metres" for i, w in enumerate(words * 2)))]
+    rows += [(100 + i, f"{REAL}\nThe {w} bench was painted green by the school.") for i, w in enumerate(words)]
+    want = {*range(60), 70, 71, 72}
+    assert _found(spark, rows) == want
+    # few bits, which different hashes share, give the same as well
+    for name, value in (("_BITS", 64), ("_LOOKED", 1)):
+        monkeypatch.setattr(residue, name, value)
+        assert _found(spark, rows) == want, name
+
+
 def test_pieces_of_a_long_page_are_one_page(monkeypatch):
     text = (REAL + "\n") * 50 + "Dear {{name}}, welcome.\nPage not found\n"
     whole = residue.PageScanner().pages([text, "x", text])
